@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fernglass.llm import sitelines
-from fernglass.session import table
+from fernglass.llm import encode, mixing, residue, sitelines
+from fernglass.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,6 +41,48 @@ def p7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("site").agg(F.count("*").alias("places"), F.count_distinct("doc_id").alias("docs"), F.max("n_docs").alias("most_docs"), F.max("n_clusters").alias("most_clusters"), F.max("n_days").alias("most_days"))
 
 
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and bodies of articles that hold residue of a template, filler or a notice."""
+    docs = table(spark, sf_dir, "articles", "extraction_id", "title", "body", "site_name")
+    return residue.residue(docs, "extraction_id", "title", "body", "site_name").select(F.col("doc_id").alias("extraction_id"), "field")
+
+
+@query
+def p6_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The articles without those that hold residue, by site: how many stay and how many go."""
+    docs = table(spark, sf_dir, "articles", "extraction_id", "title", "body", "site_name")
+    bad = residue.residue(docs, "extraction_id", "title", "body", "site_name").select(F.col("doc_id").alias("extraction_id"), F.lit(1).alias("bad")).distinct()
+    return docs.join(bad, "extraction_id", "left").groupBy("site_name").agg(F.count_if(F.col("bad").isNull()).alias("kept"), F.count("bad").alias("excluded"))
+
+
+@query
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document's text, by byte_bpe_50k."""
+    return encode.ids(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, n_tokens) of the documents of the target sources, written once; and the targets."""
+    targets = table(spark, sf_dir, "mix_targets", "source", "target_share", "max_repeats")
+    names = [r[0] for r in targets.select("source").distinct().collect()]  # a configuration table
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "text").where(F.col("source").isin(names))
+    return written(encode.token_counts(docs, "doc_id", "text").join(docs.select("doc_id", "source"), "doc_id")), targets
+
+
+@query
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every use of a document in the mixture: its copy number, output shard and place there."""
+    return mixing.mix(*_sized(spark, sf_dir))
+
+
+@query
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of the total tokens that each target source got."""
+    sized, targets = _sized(spark, sf_dir)
+    return mixing.shares(mixing.mix(sized, targets), sized, targets)
+
+
 _LINES = r"""
 with s as (select extraction_id, site_name, cast(created_at as date) as day, body, unnest(string_split(body, chr(10))) as line,
                   generate_subscripts(string_split(body, chr(10)), 1) - 1 as line_no

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fernglass.llm import encode, mixing, residue, sitelines
+from fernglass.llm import encode, mixing, neardup, residue, sitelines
 from fernglass.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,25 @@ def p7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("site").agg(F.count("*").alias("places"), F.count_distinct("doc_id").alias("docs"), F.max("n_docs").alias("most_docs"), F.max("n_clusters").alias("most_clusters"), F.max("n_days").alias("most_days"))
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, str, list[str]]]:
+    return [
+        (table(spark, sf_dir, "parsed_items", "parsed_id", "summary", "content"), "parsed_id", ["summary", "content"]),
+        (table(spark, sf_dir, "articles", "extraction_id", "body"), "extraction_id", ["body"]),
+    ]
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records whose summaries, contents or bodies share half of their word triples."""
+    return neardup.similar_pairs(_texts(spark, sf_dir), similarity=0.5).select("field", "id_a", "id_b")
+
+
+@query
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of 30 words or more, its class of equal texts, and the number of classes alike by 0.8."""
+    return neardup.groups(_texts(spark, sf_dir))
+
+
 @query
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles and bodies of articles that hold residue of a template, filler or a notice."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fernglass.llm import encode, mixing, neardup, residue, sitelines
+from fernglass.llm import encode, language, maintext, mixing, neardup, residue, sitelines
 from fernglass.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,30 @@ def p7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("site").agg(F.count("*").alias("places"), F.count_distinct("doc_id").alias("docs"), F.max("n_docs").alias("most_docs"), F.max("n_clusters").alias("most_clusters"), F.max("n_days").alias("most_days"))
 
 
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments of all feed descriptions and of the article bodies without residue."""
+    model = language.fit_table(table(spark, sf_dir, "language_samples"))
+    docs = table(spark, sf_dir, "articles", "extraction_id", "title", "body", "site_name", "language")
+    crf = maintext.fit(docs.select("extraction_id", "body", "site_name"), None)
+    shared = spark.sparkContext.broadcast(crf)
+    bad = residue.residue(docs.withColumn("title", F.lit(None).cast("string")), "extraction_id", "title", "body", "site_name").select(F.col("doc_id").alias("record_id")).distinct()
+    bodies = language.segments(docs, "extraction_id", "body", "language", model, lambda texts, sites: maintext.own_lines(shared.value, texts, sites), "site_name").join(bad, "record_id", "left_anti")
+    feeds = language.segments(table(spark, sf_dir, "parsed_feeds", "document_id", "description", "language"), "document_id", "description", "language", model)
+    return bodies.withColumn("tbl", F.lit("articles")).unionByName(feeds.withColumn("tbl", F.lit("parsed_feeds")))
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments of articles and feed descriptions whose label is missing or wrong, or that are mixed."""
+    return language.mislabelled(_segments(spark, sf_dir)).select("tbl", "record_id", "segment_no", "lang")
+
+
+@query
+def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment of articles and feed descriptions, with its language and confidence."""
+    return _segments(spark, sf_dir).select("tbl", "record_id", "segment_no", "lang", F.round("confidence", 3).alias("confidence"))
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, str, list[str]]]:
     return [
         (table(spark, sf_dir, "parsed_items", "parsed_id", "summary", "content"), "parsed_id", ["summary", "content"]),
@@ -60,6 +84,23 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(_texts(spark, sf_dir))
 
 
+def _notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record_id) of the articles whose body is a notice: nothing there is around a text."""
+    docs = table(spark, sf_dir, "articles", "extraction_id", "title", "body", "site_name")
+    return residue.residue(docs, "extraction_id", "title", "body", "site_name").where("field = 'body' and notice").select(F.col("doc_id").alias("record_id"))
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of article bodies and pending pages that are not the article's own."""
+    bodies = table(spark, sf_dir, "articles", "extraction_id", "body", "site_name")
+    pages = table(spark, sf_dir, "pending_pages", "capture_id", "body", "charset")
+    crf = maintext.fit(bodies, pages)
+    own = maintext.boilerplate_lines(bodies, crf, False).join(_notices(spark, sf_dir), "record_id", "left_anti")
+    web = maintext.boilerplate_lines(pages, crf, True)
+    return own.select(F.lit("articles").alias("tbl"), "record_id", "line_no").unionByName(web.select(F.lit("pending_pages").alias("tbl"), "record_id", "line_no"))
+
+
 @query
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles and bodies of articles that hold residue of a template, filler or a notice."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fernglass.llm import encode, language, maintext, mixing, neardup, residue, sitelines
+from fernglass.llm import encode, language, maintext, mixing, neardup, residue, sitelines, subjects
 from fernglass.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,6 +143,24 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(mixing.mix(sized, targets), sized, targets)
 
 
+def _mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return subjects.mixtures(docs, subjects.fit(docs, table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects")))
+
+
+@query
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects that at least a quarter of a document's sentences are about."""
+    return _mixtures(spark, sf_dir).where(F.col("share") >= subjects.MIN_SHARE).select("doc_id", "subject")
+
+
+@query
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus by subject: documents, and sentences' worth of documents."""
+    per_doc = _mixtures(spark, sf_dir)
+    return per_doc.groupBy("subject").agg(F.count_if(F.col("share") >= subjects.MIN_SHARE).alias("documents"), F.round(F.sum("share"), 3).alias("weight"))
+
+
 _LINES = r"""
 with s as (select extraction_id, site_name, cast(created_at as date) as day, body, unnest(string_split(body, chr(10))) as line,
                   generate_subscripts(string_split(body, chr(10)), 1) - 1 as line_no

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fernglass.llm import encode, language, maintext, mixing, neardup, residue, sitelines, subjects
+from fernglass.llm import encode, language, maintext, mixing, neardup, residue, sitelines, subjects, truncation
 from fernglass.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,24 @@ def p7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("site").agg(F.count("*").alias("places"), F.count_distinct("doc_id").alias("docs"), F.max("n_docs").alias("most_docs"), F.max("n_clusters").alias("most_clusters"), F.max("n_days").alias("most_days"))
 
 
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "parsed_items", "parsed_id", "feed_id", "title", "summary", "content")
+
+
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries and contents that stop before their text does."""
+    return truncation.truncated(_items(spark, sf_dir), "parsed_id", "feed_id", "title", ["summary", "content"]).select(F.col("record_id").alias("parsed_id"), "field")
+
+
+@query
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of truncated values of each feed and field."""
+    items = _items(spark, sf_dir)
+    cases = truncation.truncated(items, "parsed_id", "feed_id", "title", ["summary", "content"])
+    return truncation.rates(items, cases, "feed_id", ["summary", "content"]).select(F.col("source").alias("feed_id"), "field", "n_values", "n_truncated", F.round("share", 6).alias("share"))
+
+
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segments of all feed descriptions and of the article bodies without residue."""
     model = language.fit_table(table(spark, sf_dir, "language_samples"))

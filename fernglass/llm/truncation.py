@@ -60,7 +60,7 @@ _RHETORIC = re.compile(
 )
 _CLOSED = re.compile(r"[.!?][\"'”»’)\]]*$")
 _CREDIT = re.compile(r"(?:^|[.!?…\"”»]\s*)(?:\([^()]{2,80}\)|[—–]\s[^.!?]{2,80}|[\"“«][^\"”»]{1,80}[\"”»])$|https?://[^\s<>]+$|(?:^|\s)#\w+$|\S@\S+\.\w+$")
-_SENTENCE = re.compile(r"(?:(?<!\d)\.|[!?…])[.!?…]*[\"'”»’)\]]*\s+")  # not after an ordinal
+_SENTENCE = re.compile(r"(?:(?<!\d)\.|\.(?=[\"'”»’)\]])|[!?…])[.!?…]*[\"'”»’)\]]*\s+")  # not after an ordinal
 _ORDINAL = re.compile(r"\s\d{1,4}\.$")
 
 

@@ -6,6 +6,7 @@ from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 # Query parameters that track and do not identify.
 TRACKING_PREFIXES = ("utm_", "pk_", "mtm_", "matomo_", "piwik_", "hsa_")
@@ -73,10 +74,7 @@ def host_lock(host: Column) -> Column:
     return F.when(F.coalesce(host, F.lit("")) != "", F.concat(F.lit("host:"), host))
 
 
-@F.pandas_udf("string")
-def resolved(base: pd.Series, href: pd.Series) -> pd.Series:
-    """a reference resolved against its base (RFC 3986); the reference itself where that fails."""
-
+def _resolved(base: pd.Series, href: pd.Series) -> pd.Series:
     def one(b: str | None, h: str | None) -> str | None:
         if h is None:
             return None
@@ -86,3 +84,8 @@ def resolved(base: pd.Series, href: pd.Series) -> pd.Series:
             return h
 
     return pd.Series([one(b, h) for b, h in zip(base, href, strict=True)], dtype=object)
+
+
+def resolved(base: Column | str, href: Column | str) -> Column:
+    """a reference resolved against its base (RFC 3986); the reference itself where that fails."""
+    return F.pandas_udf(_resolved, StringType())(base, href)

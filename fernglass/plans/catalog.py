@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,7 +12,9 @@ from fernglass.operators import changes, latest, observe, reading, rules, runs,
 from fernglass.operators.instants import instants
 from fernglass.plans import views
 from fernglass.plans.views import LOG_NOW, NOW, at, ctes
-from fernglass.session import table
+from fernglass.session import shared_dir, table
+from fernglass.sources import article, codec, discovery, feeds, opml, robots
+from fernglass.streaming import logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,9 +28,9 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 @query
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every published_at, updated_at and published_claim that denotes an instant (problem 2)."""
-    feeds = table(spark, sf_dir, "feeds", "feed_id", "time_zone")
-    items = table(spark, sf_dir, "parsed_items", "parsed_id", "feed_id", "published_at", "updated_at").join(feeds, "feed_id", "left")
-    versions = table(spark, sf_dir, "item_versions", "version_id", "feed_id").join(feeds, "feed_id", "left")
+    zones = table(spark, sf_dir, "feeds", "feed_id", "time_zone")
+    items = table(spark, sf_dir, "parsed_items", "parsed_id", "feed_id", "published_at", "updated_at").join(zones, "feed_id", "left")
+    versions = table(spark, sf_dir, "item_versions", "version_id", "feed_id").join(zones, "feed_id", "left")
     claims = table(spark, sf_dir, "articles", "extraction_id", "version_id", "published_claim").join(versions, "version_id", "left")
     return instants(items, ["published_at", "updated_at"], "parsed_id", "time_zone").unionByName(instants(claims, ["published_claim"], "extraction_id", "time_zone"))
 
@@ -805,3 +808,162 @@ def customers_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["customers_without_orders"] = "select c_custkey, c_mktsegment from customer where not exists (select 1 from orders where o_custkey = c_custkey)"
+
+
+# --- sources -----------------------------------------------------------------------------------------------------
+
+
+def _served(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feed documents as RSS bytes, written from the parsed tables: (document_id, url, body)."""
+    items = table(spark, sf_dir, "parsed_items", "document_id", "item_no", "parsed_id", "guid", "url", "title", "summary", "content", "published_at")
+
+    def tag(name: str, c: str):
+        return F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"<{name}><![CDATA["), F.replace(F.col(c), F.lit("]]>"), F.lit("]] >")), F.lit(f"]]></{name}>"))).otherwise("")
+
+    one = F.concat(F.lit("<item>"), tag("guid", "guid"), tag("link", "url"), tag("title", "title"), tag("description", "summary"), tag("content:encoded", "content"), tag("pubDate", "published_at"), F.lit("</item>"))
+    docs = items.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_no", "parsed_id", one.alias("x")))), lambda r: r["x"]), "").alias("items"))
+    served = table(spark, sf_dir, "parsed_feeds", "document_id", "title", "site_url", "ok")
+    head = F.concat(F.lit('<rss version="2.0" xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel><ttl>45</ttl>'), tag("title", "title"), tag("link", "site_url"))
+    # documents that could not be read are served broken
+    return docs.join(served, "document_id").select("document_id", F.coalesce("site_url", F.lit("")).alias("url"), F.concat(head, "items", F.when(F.col("ok"), "</channel></rss>").otherwise("</channel>")).cast("binary").alias("body"))
+
+
+@query
+def parsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: served documents parsed: whether they could be read, and their items."""
+    return feeds.parsed_feeds(_served(spark, sf_dir)).select("document_id", "title", "ok", (F.col("note") != "").alias("noted"), F.size("items").cast("long").alias("items"), pace.ttl_seconds(F.col("ttl_minutes"), F.col("update_period"), F.col("update_frequency")).alias("ttl_seconds"))
+
+
+SQL["parsed_documents"] = """select f.document_id, trim(coalesce(f.title, '')) as title, true as ok, not f.ok as noted, i.n as items, 2700 as ttl_seconds from parsed_feeds f
+    join (select document_id, count(*) as n from parsed_items group by 1) i using (document_id)"""
+
+
+@query
+def parsed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of served documents."""
+    return feeds.items(feeds.parsed_feeds(_served(spark, sf_dir)), ["document_id"]).select("document_id", F.col("item_no").cast("long").alias("place"), "guid", "title", F.length("content").cast("long").alias("content_chars"))
+
+
+SQL["parsed_entries"] = r"""select document_id, row_number() over (partition by document_id order by item_no, parsed_id) - 1 as place, trim(coalesce(guid, ''), E' \t\n\r') as guid, trim(coalesce(title, ''), E' \t\n\r') as title,
+    length(trim(coalesce(content, ''), E' \t\n\r')) as content_chars from parsed_items where document_id in (select document_id from parsed_feeds)"""
+
+
+@query
+def page_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: pages as article texts; checked by what must hold, since no SQL says it."""
+    return article.extracted(table(spark, sf_dir, "pending_pages", "capture_id", "body", "final_url"), "capture_id").select("capture_id", "title", "language", "site_name", F.length("body").alias("chars"), texts.paragraph_count(F.col("body")).alias("paragraphs"), F.size("links").alias("links"))
+
+
+@query
+def announced_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pages announce (the archive's pages announce nothing)."""
+    p = table(spark, sf_dir, "pending_pages", "capture_id", "body", "final_url")
+    return p.select("capture_id", F.explode(discovery.announced("body", "final_url")).alias("feed_url"))
+
+
+SQL["announced_feeds"] = "select capture_id, cast(null as varchar) as feed_url from pending_pages where contains(cast(body as varchar), 'application/rss+xml')"
+
+
+@query
+def opml_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subscriptions as one OPML document."""
+    f = table(spark, sf_dir, "feeds", "title", "url", "site_url", "platform")
+    return opml.rendered(f.withColumnRenamed("platform", "category"))
+
+
+@query
+def opml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subscriptions, written as OPML and read back."""
+    made = opml_export(spark, sf_dir).select(F.col("opml").cast("binary").alias("opml"))
+    return made.lateralJoin(opml.ParseOpml(F.col("opml").outer())).select("title", "url", "site_url", "category")
+
+
+SQL["opml_round_trip"] = "select trim(title) as title, url, site_url, coalesce(platform, '') as category from feeds"
+
+
+@query
+def robots_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each feed's address may be visited, under rules that stand in for those of its host."""
+    h = table(spark, sf_dir, "hosts", "host_name", "requires_www")
+    rules_of = F.when(F.col("requires_www"), "User-agent: *\nDisallow: /\nAllow: /rss\nCrawl-delay: 500\n").otherwise("User-agent: *\nDisallow: /feed\n\nUser-agent: fernglass\nDisallow: /*.rdf$\n")
+    u = table(spark, sf_dir, "feeds", "url").select(urls.host_of(F.col("url")).alias("host_name"), "url")
+    return robots.verdicts(u, h.select("host_name", rules_of.cast("binary").alias("body"))).select("url", "known", "allowed", "blocks_everything", "crawl_delay")
+
+
+SQL["robots_verdicts"] = """select f.url, h.host_name is not null as known, case when h.requires_www then regexp_matches(f.url, '^https?://[^/]*/rss') when h.host_name is not null then not regexp_matches(f.url, '\\.rdf$') end as allowed,
+    case when h.host_name is not null then false end as blocks_everything, case when h.requires_www then cast(120 as double) end as crawl_delay
+    from feeds f left join hosts h on h.host_name = regexp_replace(regexp_extract(lower(f.url), '^https?://([^:/?#]+)', 1), '^www\\.', '')""".replace("\\\\\\\\", "\\\\")
+
+
+@query
+def compressed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as zstd frames; the sizes before are checked, those after depend on the library."""
+    return codec.compressed(table(spark, sf_dir, "pending_pages", "capture_id", "body"), "capture_id").select("capture_id", "raw_bytes", (F.col("stored_bytes") < F.col("raw_bytes")).alias("smaller"))
+
+
+SQL["compressed_bodies"] = "select capture_id, octet_length(body) as raw_bytes, true as smaller from pending_pages"
+
+
+@query
+def trained_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary for each feed that has samples enough and gains by one."""
+    b = table(spark, sf_dir, "parsed_items", "parsed_id", "feed_id", "observed_at", "content").withColumn("body", F.coalesce("content", F.lit("")).cast("binary"))
+    newest = sweeps.samples(b, "feed_id", [F.col("observed_at").desc(), F.col("parsed_id").desc()])
+    return codec.trained(newest.select("feed_id", "parsed_id", "observed_at", "body"), "feed_id", ["observed_at", "parsed_id"]).select("feed_id", "dict_id", "sample_count", "sample_bytes", F.octet_length("dictionary").alias("bytes"))
+
+
+# --- streams -----------------------------------------------------------------------------------------------------
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    held = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    # a table may be one file or a folder of files; a stream reads folders
+    return spark.readStream.schema(held.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir) if _is_file(spark, path) else spark.readStream.schema(held.schema).parquet(path)
+
+
+def _is_file(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
+
+
+def _place(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/fernglass-{uuid.uuid4().hex}"
+
+
+@query
+def stream_tail_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5: runs of errors since each user's last purchase, from a stream of events, upserted as they change."""
+    at_ = _place(spark)
+    changes_ = logs.tail_run(_stream(spark, sf_dir, "events"), "user_id", "ts", F.col("event_type") == "error", F.col("event_type") == "purchase")
+    held = upsert.Snapshots(spark, f"{at_}/table")
+    logs.drain(changes_, f"{at_}/state", logs.upserting(held, ["user_id"], ["run_length", "run_latest"], ["run_latest"]), mode="update")
+    return held.read().where("run_length > 0").select("user_id", "run_length", "run_latest")
+
+
+SQL["stream_tail_run"] = SQL["tail_run_window"]
+
+
+@query
+def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's last event, from a stream, in a snapshot table."""
+    at_ = _place(spark)
+    held = upsert.Snapshots(spark, f"{at_}/table")
+    s = _stream(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
+    logs.drain(s, f"{at_}/state", logs.upserting(held, ["user_id"], ["event_id", "ts", "event_type"], ["ts", "event_id"]))
+    return held.read().select("user_id", "event_id", "event_type")
+
+
+SQL["stream_upsert"] = "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1"
+
+
+@query
+def stream_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G8 as a stream: the six-hour buckets that the watermark has closed."""
+    at_ = _place(spark)
+    logs.drain(logs.buckets(_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "value", "6 hours"), f"{at_}/state", path=f"{at_}/out")
+    return spark.read.parquet(f"{at_}/out").withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
+SQL["stream_buckets"] = """select time_bucket(interval '6 hours', ts, timestamp '1970-01-01') as bucket, event_type, count(*) as n, round(sum(value), 4) as total, max(value) as highest from events
+    group by 1, 2 having time_bucket(interval '6 hours', max(ts), timestamp '1970-01-01') + interval '6 hours' <= (select max(ts) - interval '1 hour' from events)"""

@@ -12,7 +12,8 @@ Three detectors, all in JVM expressions:
 * **Unresolved slots** inside ordinary records: the placeholder syntaxes of the usual template
   languages. What stands between back quotes is quoted code and does not count; link targets
   are taken out first.
-* **Filler**: a line of at least five words, most of them of the well-known pseudo-Latin.
+* **Filler**: a line of at least five words, most of them of the well-known pseudo-Latin, in a text that has
+  one of its unmistakable words.
 
 A title or body that tells about such things has other words around them, and is no case. Null,
 empty and blank fields are no cases. Repeated rows come out repeatedly; extra columns are ignored.
@@ -109,11 +110,32 @@ def classify(template: Column, field: Column) -> Column:
     return F.when(field == "title", hit & (rest <= 0.25 * letters)).otherwise(hit & (template.rlike("<(?:RES|HEX|NUM)>") | (rest <= 0.5 * letters)))
 
 
+#: Every slot holds one of these; most texts hold none, and are spared the patterns.
+_SIGNS = ("{", "<%", "[[", "__", "%%", "@@", "_", "[INSERT", "[ENTER", "[ADD", "[YOUR", "[insert", "[enter", "[add", "[your")
+
+
 def has_slot(text: Column) -> Column:
+    return F.when(_any_of(text, _SIGNS), _has_slot(text)).otherwise(False)
+
+
+def _any_of(text: Column, parts: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for p in parts:
+        out = out | F.contains(text, F.lit(p))
+    return out
+
+
+def _has_slot(text: Column) -> Column:
     prose = F.regexp_replace(F.regexp_replace(text, r"`[^`\n]*`", " "), r"\]\(https?://[^)\s]*\)", "")
     return prose.rlike("|".join(SLOTS)) | text.rlike(r"\[\[[A-Z ]{3,40}\]\]\(http")
 
 
+#: The unmistakable words of the list, by their parts: a body of filler holds one, in either case. Few others do.
+_FILLER_PARTS = tuple(
+    y for x in "adipi aliqu aute cillum consect cupid deseru eiusm exercit fugia incidi ipsum irure laboris mollit nostru occaec pariat proid reprehen ullamc veniam".split() for y in (x, x.upper())
+)
+
+
 def has_filler(text: Column) -> Column:
     words = r"(?i)\b(?:" + "|".join(sorted(set(FILLER_WORDS.split()))) + r")\b"
 
@@ -121,8 +143,8 @@ def has_filler(text: Column) -> Column:
         n = F.regexp_count(line, F.lit(r"(?U)\w+"))
         return (n >= 5) & (F.regexp_count(line, F.lit(words)) >= 0.6 * n)
 
-    # most texts hold none of it: the lines of the others only are looked at
-    return F.when(F.regexp_count(text, F.lit(r"(?i)\b(?:adipiscing|aliquip|aute|cillum|consectetur|cupidatat|deserunt|dolore|eiusmod|fugiat|incididunt|ipsum|irure|laboris|mollit|nostrud|occaecat|pariatur|proident|ullamco|veniam)\b")) >= 2, F.exists(F.split(text, "\n"), filler)).otherwise(False)
+    # most texts hold none of these parts: the lines of the others only are looked at
+    return F.when(_any_of(text, _FILLER_PARTS), F.exists(F.split(text, "\n"), filler)).otherwise(False)
 
 
 def residue(docs: DataFrame, doc_id: str, title: str, body: str, site: str | None = None) -> DataFrame:

@@ -195,7 +195,7 @@ def features(blocks: list[Block], site: str, is_page: bool) -> list[list[int]]:
 def weak_label(b: Block, site: str, is_page: bool) -> int:
     """1 (boilerplate) or 0 by the labelling functions."""
     s = " ".join(b.text.split())
-    plain = _LINK.sub(r"\1", s)
+    plain = _LINK.sub(r"\1", s) if len(s) <= 4000 else s
     if is_page and (not b.inside or b.above & _APART or b.linked > 0.85 * len(s)):
         return 1
     if is_page and b.tag in ("h1", "h2", "h3", "h4"):

@@ -2,8 +2,8 @@
 
 Three detectors, all in JVM expressions:
 
-* **Message templates.** Titles, and bodies of at most ``MAX_LINES`` lines and ``MAX_TOKENS`` words,
-  are messages. Their variable parts (numbers, addresses and paths, hexadecimal ids, the site's
+* **Message templates.** Titles and bodies of at most ``MAX_TOKENS`` words (bodies of at most ``MAX_LINES``
+  lines) are messages. Their variable parts (numbers, addresses and paths, hexadecimal ids, the site's
   name) are masked; a prefix tree of fixed depth (number of words, then the first three) sorts them
   into leaves; a leaf's template keeps the word that most of its messages have at a place, and a
   wildcard elsewhere. A message that agrees with its leaf's template in fewer than half of the
@@ -154,7 +154,7 @@ def residue(docs: DataFrame, doc_id: str, title: str, body: str, site: str | Non
     fields = src.select("doc_id", "site", F.explode(F.array(F.struct(F.lit("title").alias("field"), F.col("t").alias("text")), F.struct(F.lit("body").alias("field"), F.col("b").alias("text")))).alias("f"))
     fields = fields.select("doc_id", "site", "f.field", "f.text").where(F.trim("text") != "")
     is_title = F.col("field") == "title"
-    short = is_title | ((F.length("text") <= 12 * MAX_TOKENS) & (F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")) <= MAX_LINES))
+    short = (F.length("text") <= 12 * MAX_TOKENS) & (is_title | (F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")) <= MAX_LINES))
     marked = fields.select(
         "doc_id",
         "field",

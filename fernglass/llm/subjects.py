@@ -68,7 +68,8 @@ def factor(docs: list[tuple[str, set[str]]], subjects: list[str], steps: int = S
     seed = np.array([[1.0 / len(own) if name in own else 0.0 for name in subjects] for _, own in docs])
     # words that documents of many subjects share are the language's own: they would make the components languages
     share = np.stack([np.bincount(cols, seed[rows, c], len(terms)) for c in range(k)], 1)
-    keep = share.max(1) >= CONCENTRATED * (share.sum(1) + 1)
+    least_share = max(CONCENTRATED, 1.3 / max(k, 1))  # with few subjects, an even spread is a large share
+    keep = share.max(1) >= least_share * (share.sum(1) + 1)
     terms = {w: int(j) for (w, old), j in zip(terms.items(), np.cumsum(keep) - 1, strict=True) if keep[old]}
     there = keep[cols]
     rows, cols, vals = rows[there], (np.cumsum(keep) - 1)[cols[there]], vals[there]
@@ -96,7 +97,7 @@ def factor(docs: list[tuple[str, set[str]]], subjects: list[str], steps: int = S
     part = (mass / mass.sum(0)).T * (n / (n + 1.0))[:, None]
     # a term that several subjects share says little about any
     top = part.max(1, keepdims=True)
-    part = np.where(part >= 0.5 * top, part, 0) * (top > 0.35)
+    part = np.where(part >= 0.5 * top, part, 0) * (top > least_share)
     return Factors(subjects, terms, part.astype(np.float32))
 
 

@@ -22,6 +22,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -119,10 +120,9 @@ class Classifier:
         if len(self.at) > 400_000:
             self.at = {}
         words = [_WORDS.findall((_LINK.sub("]", s) if "](" in s else s).lower()) for s in lines]
-        self._learn({w for ws in words for w in ws}.difference(self.at))
-        get = self.at.__getitem__
+        self._learn(set(chain.from_iterable(words)).difference(self.at))
         lens = np.array([len(ws) for ws in words], np.int64)
-        ids = np.fromiter((get(w) for ws in words for w in ws), np.int64, int(lens.sum()))
+        ids = np.fromiter(map(self.at.__getitem__, chain.from_iterable(words)), np.int64, int(lens.sum()))
         sums = np.zeros((len(lines), self.rows.shape[1]), np.float64)
         some = lens > 0
         if len(ids):

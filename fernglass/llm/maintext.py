@@ -152,17 +152,18 @@ def features(blocks: list[Block], site: str, is_page: bool) -> list[list[int]]:
     out, n = [], len(blocks)
     before = -2
     for i, b in enumerate(blocks):
-        s = " ".join(b.text.split())
+        long = len(b.text) > 600
+        s = b.text.strip() if long else " ".join(b.text.split())
         kind = "page" if is_page else "body"
         f = [kind, f"{kind} from start {min(i, 3)}", f"{kind} from end {min(n - 1 - i, 6)}"]
         if not is_page:
             f.append("joined" if b.line_no == before + 1 else "apart")
         before = b.line_no
-        long = len(s) > 400
+        long = long or len(s) > 400
         words = 99 if long else len(s.split())
         f.append(f"words {min(words, 12) if words <= WORDY else 'many'}")
         plain = s if long else _LINK.sub(r"\1", s)
-        end = "stop" if _END.search(plain) else plain[-1:] if not plain[-1:].isalnum() else "open"
+        end = "stop" if _END.search(plain[-16:]) else plain[-1:] if not plain[-1:].isalnum() else "open"
         many = min(len(_SENTENCE.findall(plain)), 2) if not long else 2
         mark = plain[:1] if not plain[:1].isalnum() else "letter"
         f += [f"end {end}", f"sentences {many}", f"mark {mark}", f"end {end} sentences {many}", f"mark {mark} end {end}"]

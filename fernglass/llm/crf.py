@@ -58,7 +58,7 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (m + np.log(np.exp(x - m).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def train(feats: np.ndarray, starts: np.ndarray, lens: np.ndarray, labels: np.ndarray, dim: int, steps: int = 100, l2: float = 0.1, rate: float = 0.15) -> Crf:
+def train(feats: np.ndarray, starts: np.ndarray, lens: np.ndarray, labels: np.ndarray, dim: int, steps: int = 200, l2: float = 0.02, rate: float = 0.3) -> Crf:
     """Fit by Adam on the full gradient. ``labels``: 0 or 1 for every node."""
     crf = Crf(np.zeros(dim), np.zeros((2, 2)), np.zeros(2), np.zeros(2))
     if not len(lens) or not len(labels):

@@ -9,12 +9,14 @@ columns are ignored.
 
 Method: each class has a signature of ``TREES * DEPTH`` minima. Each of the ``TREES`` trees sorts
 all classes by its own minima and deeper levels; neighbours in the order that share at least the
-first ``DEPTH`` levels are candidates, at most ``REACH`` apart. So where a region is sparse the
-shared prefix may be short, and where it is crowded the neighbours are those with the longest
-common prefix: the depth adapts to the region, and no bucket is ever gathered or paired in full.
-Candidates whose 4-bit sketches disagree are dropped, the others are checked exactly on their sets
-of triples, and ``closure`` adds and checks neighbours of neighbours, which repairs what a crowded
-region hid from its trees.
+first ``DEPTH`` levels are candidates, at most ``REACH`` apart. Candidates whose 4-bit sketches
+disagree are dropped, the others are checked exactly on their sets of triples. Two things come on
+top, both exact and in blocks of at most about ``BLOCK`` classes, each met by each other block:
+
+* A prefix with more classes than ``REACH`` lets meet is crowded. All its pairs are checked that no
+  earlier step has joined.
+* ``closure``: the components of the links are completed. All pairs of a component are checked, so
+  no new link can appear. (Components that are complete already are left alone.)
 
 Scale: signatures are made where the texts are read; what is shuffled is 40 bytes for each class and
 tree, and the triples of those classes only that are in a candidate. Python works on Arrow batches
@@ -39,6 +41,8 @@ SKETCH = 32  # minima of which 4 bits are kept
 SKETCH_LEAST = 9  # of 32; a pair alike by 0.5 has 17 in the mean, an unrelated one 3
 #: Classes in candidates up to which their ids are sent to every executor; beyond it they are joined by a shuffle.
 SMALL_NODES = 1_000_000
+#: Classes, and bytes of their triples, in a block of those that are paired in full.
+BLOCK, BLOCK_BYTES = 1000, 16_000_000
 
 _TAG = re.compile(r"<[^<>]*>")
 _WORD = re.compile(r"\w+")
@@ -162,8 +166,9 @@ def _agree(a1: np.ndarray, a2: np.ndarray, b1: np.ndarray, b2: np.ndarray) -> np
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes that stand at most REACH apart under one prefix of the sorted partition."""
+    """Pairs of classes that stand at most REACH apart under one prefix of the sorted partition; and (a, prefix) of the classes of crowded prefixes."""
     held: list[np.ndarray] | None = None
+    far = REACH + 1
     for b in batches:
         cols = [b.column(i).to_numpy() for i in range(5)]
         fresh = 0
@@ -186,11 +191,19 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ok = _agree(s1[at], s2[at], s1[at - w], s2[at - w]) >= SKETCH_LEAST
             left.append(c[at[ok] - w])
             right.append(c[at[ok]])
-        held = [x[-REACH:] for x in cols]
+        held = [x[-far:] for x in cols]
         if left:
             x, y = np.concatenate(left), np.concatenate(right)
             ok = x != y
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[ok]), pa.array(np.maximum(x, y)[ok])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[ok]), pa.array(np.maximum(x, y)[ok]), pa.nulls(int(ok.sum()), pa.int64())], ["a", "b", "prefix"])
+        at = np.flatnonzero(p[far:] == p[:-far]) + far
+        at = at[at >= fresh]
+        if len(at):
+            cover = np.zeros(len(p) + 1, np.int64)
+            cover[at - far] += 1
+            cover[at + 1] -= 1
+            crowd = np.cumsum(cover[:-1]) > 0
+            yield pa.RecordBatch.from_arrays([pa.array(c[crowd]), pa.nulls(int(crowd.sum()), pa.int64()), pa.array(p[crowd])], ["a", "b", "prefix"])
 
 
 def _sets(fields: list[str], min_words: int):
@@ -234,6 +247,81 @@ def _jaccard(least: float):
     return run
 
 
+def _common(x: list[np.ndarray], y: list[np.ndarray] | None) -> np.ndarray:
+    """How many triples each set of ``x`` has in common with each of ``y`` (None: of ``x``)."""
+    sets = x if y is None else x + y
+    size = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    _, tok = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.bincount(tok[row < len(x)], minlength=int(tok.max()) + 1)
+    last = first - 1 if y is None else np.bincount(tok[row >= len(x)], minlength=len(first))
+    shared = (first > 0) & (last > 0)
+    col = np.cumsum(shared) - 1
+    ok = shared[tok]
+    row, tok = row[ok], col[tok[ok]]
+    order = np.argsort(tok, kind="stable")
+    row, tok = row[order], tok[order]
+    total = np.zeros((len(x), len(sets) - len(x) if y is not None else len(x)), np.float32)  # exact up to 2**24
+    wide = min(int(shared.sum()), 4096)
+    for lo in range(0, int(shared.sum()), max(wide, 1)):
+        a, z = np.searchsorted(tok, [lo, lo + wide])
+        has = np.zeros((len(sets), wide), np.float32)
+        has[row[a:z], tok[a:z] - lo] = 1
+        total += has[: len(x)] @ (has if y is None else has[len(x) :]).T
+    return total
+
+
+def _crossed(least: float):
+    """Alike pairs of each pair of blocks, the rows sorted by it: those of different groups that have no earlier bucket in common."""
+
+    def pairs(rows: list[tuple]) -> pa.RecordBatch | None:
+        sides = [[r for r in rows if r[3] == k] for k in (rows[0][1], rows[0][2])]
+        same = rows[0][1] == rows[0][2]
+        if not all(sides):
+            return None
+        x, y = sides
+        ask = np.ones((len(x), len(y)), bool)
+        if same:
+            ask &= np.tri(len(x), k=-1, dtype=bool).T
+        if rows[0][5] is not None:
+            ask &= np.array([r[5] for r in x])[:, None] != np.array([r[5] for r in y])
+            holders: list[dict[int, list[int]]] = [{}, {}]
+            for z, held in zip(sides, holders, strict=True):
+                for i, r in enumerate(z):
+                    for k in r[6]:
+                        if k < rows[0][0]:
+                            held.setdefault(k, []).append(i)
+            for k in holders[0].keys() & holders[1].keys():
+                ask[np.ix_(holders[0][k], holders[1][k])] = False
+        if not ask.any():
+            return None
+        x, y = [[(r[4], np.frombuffer(r[7], np.uint32)) for r in z] for z in (x, y)]
+        i, j = np.nonzero(ask)
+        if len(i) > 0.02 * ask.size:
+            both = _common([s for _, s in x], None if same else [s for _, s in y])[i, j]
+        else:
+            both = np.array([len(np.intersect1d(x[p][1], y[q][1], assume_unique=True)) for p, q in zip(i, j, strict=True)])
+        sim = both.astype(np.float64)
+        sim /= np.array([len(s) for _, s in x])[i] + np.array([len(s) for _, s in y])[j] - sim
+        ok = sim >= least
+        a, b = np.array([c for c, _ in x])[i[ok]], np.array([c for c, _ in y])[j[ok]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sim[ok])], ["a", "b", "similarity"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and rows[0][:3] != r[:3]:
+                    if (out := pairs(rows)) is not None:
+                        yield out
+                    rows = []
+                rows.append(r)
+        if rows and (out := pairs(rows)) is not None:
+            yield out
+
+    return run
+
+
 def signatures(sources: list[tuple[DataFrame, str, list[str]]], min_words: int = 30) -> DataFrame:
     """(field, id, cls, sig) of every text that is long enough. ``sources``: a DataFrame, its id column, its text columns."""
     out = None
@@ -246,11 +334,11 @@ def signatures(sources: list[tuple[DataFrame, str, list[str]]], min_words: int =
 
 
 def candidates(signed: DataFrame) -> DataFrame:
-    """(a, b): distinct candidate pairs of classes, a < b."""
+    """(a, b, prefix): distinct candidate pairs of classes, a < b, without a prefix; and the classes (a) of crowded prefixes, without b."""
     trees = signed.where("sig is not null").select(F.crc32(F.col("field").cast("binary")).alias("field"), "cls", "sig").mapInArrow(_planted, "prefix long, rest long, cls long, s1 long, s2 long")
     n = max(int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = trees.repartition(n, "prefix").sortWithinPartitions("prefix", "rest", "cls")
-    return ordered.mapInArrow(_neighbours, "a long, b long").distinct()
+    return ordered.mapInArrow(_neighbours, "a long, b long, prefix long").distinct()
 
 
 def triples_of(sources: list[tuple[DataFrame, str, list[str]]], nodes: DataFrame, n_nodes: int, min_words: int = 30) -> DataFrame:
@@ -263,29 +351,64 @@ def triples_of(sources: list[tuple[DataFrame, str, list[str]]], nodes: DataFrame
     return out.join(small, "cls", "left_semi").dropDuplicates(["cls"])
 
 
-def similar_classes(sources: list[tuple[DataFrame, str, list[str]]], signed: DataFrame, similarity: float, min_words: int = 30, closure: bool = True) -> DataFrame:
-    """(a, b, similarity): pairs of different classes that are alike."""
-    pairs = written(candidates(signed))
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    tri = triples_of(sources, nodes, nodes.count(), min_words)
+def components(links: DataFrame) -> DataFrame:
+    """(cls, comp): the classes of ``links`` (a, b) and the least class that they lead to, by alternating large and small stars."""
+    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state = None
+    while True:
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 30)))).first()
+        if now == state:
+            return edges.select(F.col("a").alias("cls"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("cls"), F.col("b").alias("comp")).distinct())
+        state = now
+        ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = ways.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        edges = written(small.distinct())
+
+
+def crossed(members: DataFrame, tri: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, similarity): all alike pairs within each bucket. ``members``: bucket, cls, grp, buckets; with grp, only pairs of different ones, in the first of their common buckets."""
+    full = members.join(tri, "cls")
+    sizes = full.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("tri")) / BLOCK_BYTES)).cast("int").alias("n"))
+    full = full.join(sizes, "bucket").withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    met = full.select("bucket", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "cls", "grp", "buckets", "tri")
+    n = max(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return met.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_crossed(similarity), "a long, b long, similarity double")
 
-    def check(p: DataFrame) -> DataFrame:
-        x, y = tri.select(F.col("cls").alias("a"), F.col("tri").alias("x")), tri.select(F.col("cls").alias("b"), F.col("tri").alias("y"))
-        return p.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_jaccard(similarity), "a long, b long, similarity double")
 
-    alike = check(pairs)
+def similar_classes(sources: list[tuple[DataFrame, str, list[str]]], signed: DataFrame, similarity: float, min_words: int = 30, closure: bool = True) -> DataFrame:
+    """(a, b, similarity): pairs of different classes that are alike."""
+    found = written(candidates(signed))
+    pairs = found.where("b is not null").select("a", "b")
+    crowds = found.where("b is null").select(F.col("prefix").alias("bucket"), F.col("a").alias("cls"))
+    nodes = found.select(F.explode(F.array_compact(F.array("a", "b"))).alias("cls")).distinct()
+    tri = written(triples_of(sources, nodes, nodes.count(), min_words))
+    x, y = tri.select(F.col("cls").alias("a"), F.col("tri").alias("x")), tri.select(F.col("cls").alias("b"), F.col("tri").alias("y"))
+    alike = written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_jaccard(similarity), "a long, b long, similarity double"))
+    comps = written(components(alike))
+
+    # crowded prefixes whose classes are not one component yet
+    crowds = crowds.join(comps, "cls", "left").select("bucket", "cls", F.coalesce("comp", "cls").alias("grp"))
+    mixed = crowds.groupBy("bucket").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("bucket")
+    crowds = written(crowds.join(mixed, "bucket"))
+    if not crowds.isEmpty():
+        every = crowds.groupBy("cls").agg(F.collect_set("bucket").alias("buckets"))  # TREES at most
+        more = written(crossed(crowds.join(every, "cls"), tri, similarity))
+        if not more.isEmpty():
+            alike = written(alike.unionByName(more))
+            comps = written(components(alike))
     if not closure:
         return alike
-    alike = written(alike)
-    # neighbours of neighbours that no tree brought together
-    links = alike.select("a", "b").unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    hop = links.select(F.col("a").alias("mid"), F.col("b").alias("p")).join(links.select(F.col("a").alias("mid"), F.col("b").alias("q")), "mid").where("p < q").select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
-    more = written(hop.join(pairs, ["a", "b"], "left_anti"))
-    if more.isEmpty():
+    # components that lack a pair
+    have = alike.join(comps, alike["a"] == comps["cls"]).groupBy("comp").agg(F.count("*").alias("links"))
+    part = comps.groupBy("comp").agg(F.count("*").alias("n")).join(have, "comp").where("links < n * (n - 1) / 2").select("comp")
+    members = written(comps.join(part, "comp").select(F.col("comp").alias("bucket"), "cls", F.lit(None).cast("long").alias("grp"), F.lit(None).cast("array<long>").alias("buckets")))
+    if members.isEmpty():
         return alike
-    nodes = more.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    tri = triples_of(sources, nodes, nodes.count(), min_words)
-    return alike.unionByName(check(more))
+    whole = alike.join(members.select(F.col("cls").alias("a")), "a", "left_anti").select("a", "b", "similarity")
+    return whole.unionByName(crossed(members, tri, similarity))
 
 
 def similar_pairs(sources: list[tuple[DataFrame, str, list[str]]], similarity: float = 0.8, min_words: int = 30, closure: bool = True) -> DataFrame:

@@ -51,6 +51,34 @@ def test_a_hot_group_of_near_copies(spark):
     assert len(got) == 60 * 59 // 2
 
 
+def test_thousands_of_near_copies(spark):
+    """Many times more near-copies than any tree's reach, over several blocks, among unrelated texts."""
+    rnd = random.Random(13)
+    base = words_of(rnd, 100)
+    rows = []
+    for i in range(2200):
+        t = list(base)
+        t[rnd.randrange(100)] = f"x{i}"
+        rows.append((i, " ".join(t)))
+    rows += [(10_000 + i, " ".join(words_of(rnd, 60))) for i in range(2000)]
+    got = neardup.similar_pairs([(spark.createDataFrame(rows, "id long, a string"), "id", ["a"])], similarity=0.5).where("id_b < 10000")
+    assert got.distinct().count() == got.count() == 2200 * 2199 // 2
+
+
+def test_alike_pairs_under_a_crowded_prefix(spark):
+    """Texts that share a long notice stand under the same prefixes and are not alike; a few pairs among them are."""
+    rnd = random.Random(14)
+    notice = words_of(rnd, 60)
+    texts = [notice + words_of(rnd, 40) for _ in range(1500)]
+    for i in range(0, 200, 2):
+        own = texts[i][60:]
+        own[20] = "edited"
+        texts[i + 1] = notice + own
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, a string")
+    got = [(r.id_a, r.id_b) for r in neardup.similar_pairs([(df, "id", ["a"])], similarity=0.8).collect()]
+    assert sorted(got) == [(i, i + 1) for i in range(0, 200, 2)]
+
+
 def test_no_pairs(spark):
     df = spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(40))), (2, None)], "id long, a string")
     assert neardup.similar_pairs([(df, "id", ["a"])], 0.5).collect() == []

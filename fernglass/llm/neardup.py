@@ -1,4 +1,4 @@
-"""Near-duplicate texts by an LSH forest over minhash signatures (problem 4).
+"""Near-duplicate texts by banded minhash signatures (problem 4).
 
 Words are lower-case runs of letters, digits and underscores after tags are taken out and entities
 decoded; two texts of one field are alike if at least ``similarity`` of the distinct word triples

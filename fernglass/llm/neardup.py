@@ -7,20 +7,25 @@ no pair. Equal word sequences are one class: they are collapsed before the searc
 afterwards. Repeated ids stay what they are: rows with one id never pair with themselves. Extra
 columns are ignored.
 
-Method: each class has a signature of ``TREES * DEPTH`` minima. Each of the ``TREES`` trees sorts
-all classes by its own minima and deeper levels; neighbours in the order that share at least the
-first ``DEPTH`` levels are candidates, at most ``REACH`` apart. Candidates whose 4-bit sketches
-disagree are dropped, the others are checked exactly on their sets of triples. Two things come on
-top, both exact and in blocks of at most about ``BLOCK`` classes, each met by each other block:
-
-* A prefix with more classes than ``REACH`` lets meet is crowded. All its pairs are checked that no
-  earlier step has joined.
+Method: an LSH forest. Each class has a signature of ``TREES * LEVELS`` minima; each of the ``TREES``
+trees is a sorted order of all classes by the ``DEPTH`` minima that the tree reads one after
+another, so a longer common prefix in the order is a deeper common node of the tree. The candidates
+of a class are its ``REACH`` nearest neighbours on either side that have a common prefix with it at all: where a
+region is dense they share deep nodes, where it is sparse one level is enough. Orders are
+range-partitioned; what stands near a border is looked at again with the other side. Candidates whose
+4-bit sketches disagree are dropped, the others are checked exactly on their sets of triples, by
+components of the candidates: a component's triples meet once, in blocks of at most about ``BLOCK`` classes
+(only the blocks that have a candidate pair in common meet). Two things come on top, both exact:
+
+* A node of ``CROWDED`` levels with more classes than ``REACH`` lets meet is crowded. All its pairs are
+  checked that no earlier step has joined.
 * ``closure``: the components of the links are completed. All pairs of a component are checked, so
   no new link can appear. (Components that are complete already are left alone.)
 
 Scale: signatures are made where the texts are read; what is shuffled is 40 bytes for each class and
-tree, and the triples of those classes only that are in a candidate. Python works on Arrow batches
-with numpy; the groups of a sorted partition are streamed.
+tree, and the triples of the classes, twice. Tasks are sized by bytes, a tree's hot node is spread over
+as many as it needs. Nothing is sent to the driver or broadcast but counts. Python works on Arrow
+batches with numpy; the groups of a sorted partition are streamed.
 """
 
 from __future__ import annotations
@@ -32,23 +37,30 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from fernglass.session import written
 
-TREES, DEPTH, REACH = 16, 3, 24
+TREES, LEVELS, REACH = 16, 3, 24
+#: Levels of a tree's order, and the bits that are kept of each; levels past the tree's own are those of the next trees.
+DEPTH, BITS = 5, (26, 26, 22, 21, 21)
+CROWDED = 3
 SKETCH = 32  # minima of which 4 bits are kept
-SKETCH_LEAST = 9  # of 32; a pair alike by 0.5 has 17 in the mean, an unrelated one 3
-#: Classes in candidates up to which their ids are sent to every executor; beyond it they are joined by a shuffle.
-SMALL_NODES = 1_000_000
+#: Of 32; a pair alike by 0.5 has 17 in the mean, an unrelated one 3. The second holds under a node of fewer than CROWDED levels.
+SKETCH_LEAST, SKETCH_SHALLOW = 10, 13
 #: Classes, and bytes of their triples, in a block of those that are paired in full.
 BLOCK, BLOCK_BYTES = 1000, 16_000_000
+#: Bytes that a task is to get.
+TASK_BYTES = 6_000_000
+#: Equal texts of one class that meet all others of it in one place.
+MEMBERS = 2000
 
 _TAG = re.compile(r"<[^<>]*>")
 _WORD = re.compile(r"\w+")
 _rng = np.random.default_rng(20240229)
-_MULT = (_rng.integers(0, 2**31, TREES * DEPTH, dtype=np.uint64) * 2 + 1).astype(np.uint32)
-_XOR = _rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32)
+_MULT = (_rng.integers(0, 2**31, TREES * LEVELS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
+_XOR = _rng.integers(0, 2**32, TREES * LEVELS, dtype=np.uint64).astype(np.uint32)
 
 
 def words(text: str) -> list[str]:
@@ -105,7 +117,7 @@ def _signed(fields: list[str], min_words: int):
         rows: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            sets = [_triples(ws) for *_, ws in rows if ws]
+            sets = [_triples(r[3]) for r in rows if r[3]]
             sigs = iter(())
             if sets:
                 flat = np.concatenate(sets)
@@ -114,13 +126,13 @@ def _signed(fields: list[str], min_words: int):
                 for p in range(len(_MULT)):
                     sig[:, p] = np.minimum.reduceat((flat ^ _XOR[p]) * _MULT[p], starts)
                 sigs = iter(sig)
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([next(sigs).tobytes() if r[3] else None for r in rows], pa.binary())], ["field", "id", "cls", "sig"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([next(sigs).tobytes() if r[3] else None for r in rows], pa.binary()), pa.array([r[4] for r in rows], pa.int32())], ["field", "id", "cls", "sig", "n_words"])
 
         size = 0
         for k, i, c, ws in _each(batches, fields, min_words):
             new = c not in done
             done.add(c)
-            rows.append((k, i, c, ws if new else None))
+            rows.append((k, i, c, ws if new else None, len(ws)))
             size += len(ws) if new else 1
             if size > 1_000_000:
                 yield out()
@@ -134,7 +146,7 @@ def _signed(fields: list[str], min_words: int):
 
 
 def _planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each class and tree: where it stands in the tree's order, and its sketch."""
+    """A row for each class and tree: its place in the tree's order (12 bits of tree and field, then the levels), and its sketch."""
     for b in batches:
         n = b.num_rows
         if not n:
@@ -144,14 +156,29 @@ def _planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(n, -1).astype(np.uint64)
         nib = (sig[:, :SKETCH] >> np.uint64(13)) & np.uint64(15)
         sk = [np.bitwise_or.reduce(nib[:, j : j + 16] << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1) for j in (0, 16)]
+        # minima are small numbers: multiplied, their upper bits tell them apart
+        level = (sig * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)) ^ (sig >> np.uint64(7))
+        field = (field * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)
         for t in range(TREES):
-            p = np.full(n, t, np.uint64) * np.uint64(31) + field
-            for d in range(DEPTH):
-                p = (p ^ sig[:, t * DEPTH + d]) * np.uint64(0x9E3779B97F4A7C15)
-                p ^= p >> np.uint64(29)
-            deeper = [sig[:, (t * DEPTH + DEPTH + d) % sig.shape[1]] for d in (0, 1)]
-            rest = (deeper[0] << np.uint64(32)) | deeper[1]
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (p, rest, cls, *sk)], ["prefix", "rest", "cls", "s1", "s2"])
+            keys = [(field + np.uint64(t * 257)) & np.uint64(0xFFF), np.zeros(n, np.uint64)]
+            for d, bits in enumerate(BITS):
+                x = (level[:, (t * LEVELS + d) % sig.shape[1]] >> np.uint64(32 - bits)) & np.uint64((1 << bits) - 1)
+                k = 0 if d < 2 else 1
+                keys[k] = (keys[k] << np.uint64(bits)) | x
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (*keys, cls, *sk)], PLACED.split())
+
+
+PLACED = "k1 k2 cls s1 s2"
+
+
+def _common_levels(k1: np.ndarray, k2: np.ndarray, q1: np.ndarray, q2: np.ndarray) -> np.ndarray:
+    """How many levels the places (k1, k2) and (q1, q2) have in common."""
+    x, y = (k1 ^ q1).view(np.uint64), (k2 ^ q2).view(np.uint64)
+    out = (x >> np.uint64(BITS[1]) == 0).astype(np.int8)
+    out += x == 0
+    for low in (BITS[3] + BITS[4], BITS[4], 0):
+        out += (x == 0) & (y >> np.uint64(low) == 0)
+    return out
 
 
 def _agree(a1: np.ndarray, a2: np.ndarray, b1: np.ndarray, b2: np.ndarray) -> np.ndarray:
@@ -165,45 +192,68 @@ def _agree(a1: np.ndarray, a2: np.ndarray, b1: np.ndarray, b2: np.ndarray) -> np
     return total
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes that stand at most REACH apart under one prefix of the sorted partition; and (a, prefix) of the classes of crowded prefixes."""
-    held: list[np.ndarray] | None = None
+def _neighbours(bordered: bool):
+    """Of a sorted partition: pairs of classes that stand at most REACH apart and have a level in common; (a, bucket) of the
+    classes of crowded nodes; and the rows near its borders, which ``bordered`` partitions consist of (they have none)."""
     far = REACH + 1
-    for b in batches:
-        cols = [b.column(i).to_numpy() for i in range(5)]
-        fresh = 0
-        if held is not None:
-            fresh = len(held[0])
-            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-        p, _, c, s1, s2 = cols
-        keep = np.ones(len(p), bool)  # a class that was signed in several tasks counts once
-        keep[1:] = (p[1:] != p[:-1]) | (c[1:] != c[:-1])
-        keep[:fresh] = True
-        fresh = int(keep[:fresh].sum())
-        cols = [x[keep] for x in cols]
-        p, _, c, s1, s2 = cols
-        left, right = [], []
-        for w in range(1, min(REACH, len(p) - 1) + 1):
-            at = np.flatnonzero(p[w:] == p[:-w]) + w
+    names = ["a", "b", "bucket", "border", *PLACED.split()]
+
+    def rows(n: int, **cols: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(cols[c]), pa.int64()) if c in cols else pa.nulls(n, pa.int64()) for c in names], names)
+
+    def edge(border: int, cols: list[np.ndarray]) -> pa.RecordBatch:
+        return rows(len(cols[0]), border=np.full(len(cols[0]), border), **dict(zip(PLACED.split(), cols, strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        held: list[np.ndarray] | None = None
+        opened = 0  # rows sent to the border before
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [b.column(i).to_numpy() for i in range(5)]
+            fresh = 0
+            if held is not None:
+                fresh = len(held[0])
+                cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+            k1, k2, c = cols[:3]
+            keep = np.ones(len(c), bool)  # a class that was signed in several tasks counts once
+            keep[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (c[1:] != c[:-1])
+            keep[:fresh] = True
+            cols = [x[keep] for x in cols]
+            k1, k2, c, s1, s2 = cols
+            if not bordered and opened < far:
+                new = [x[fresh:][: far - opened] for x in cols]
+                opened += len(new[0])
+                yield edge(part, new)
+            left, right = [], []
+            for w in range(1, min(REACH, len(c) - 1) + 1):
+                common = _common_levels(k1[w:], k2[w:], k1[:-w], k2[:-w])
+                at = np.flatnonzero(common > 0) + w
+                at = at[at >= fresh]
+                if not len(at):
+                    break
+                ok = _agree(s1[at], s2[at], s1[at - w], s2[at - w]) >= np.where(common[at - w] >= CROWDED, SKETCH_LEAST, SKETCH_SHALLOW)
+                left.append(c[at[ok] - w])
+                right.append(c[at[ok]])
+            if left:
+                x, y = np.concatenate(left), np.concatenate(right)
+                ok = x != y
+                yield rows(int(ok.sum()), a=np.minimum(x, y)[ok], b=np.maximum(x, y)[ok])
+            at = np.flatnonzero(_common_levels(k1[far:], k2[far:], k1[:-far], k2[:-far]) >= CROWDED) + far
             at = at[at >= fresh]
-            if not len(at):
-                break
-            ok = _agree(s1[at], s2[at], s1[at - w], s2[at - w]) >= SKETCH_LEAST
-            left.append(c[at[ok] - w])
-            right.append(c[at[ok]])
-        held = [x[-far:] for x in cols]
-        if left:
-            x, y = np.concatenate(left), np.concatenate(right)
-            ok = x != y
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[ok]), pa.array(np.maximum(x, y)[ok]), pa.nulls(int(ok.sum()), pa.int64())], ["a", "b", "prefix"])
-        at = np.flatnonzero(p[far:] == p[:-far]) + far
-        at = at[at >= fresh]
-        if len(at):
-            cover = np.zeros(len(p) + 1, np.int64)
-            cover[at - far] += 1
-            cover[at + 1] -= 1
-            crowd = np.cumsum(cover[:-1]) > 0
-            yield pa.RecordBatch.from_arrays([pa.array(c[crowd]), pa.nulls(int(crowd.sum()), pa.int64()), pa.array(p[crowd])], ["a", "b", "prefix"])
+            if len(at):
+                cover = np.zeros(len(c) + 1, np.int64)
+                np.add.at(cover, at - far, 1)
+                np.add.at(cover, at + 1, -1)
+                crowd = np.cumsum(cover[:-1]) > 0
+                node = (k1.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (k2.view(np.uint64) >> np.uint64(BITS[3] + BITS[4]))
+                yield rows(int(crowd.sum()), a=c[crowd], bucket=node[crowd].view(np.int64))
+            held = [x[-far:] for x in cols]
+        if held is not None and not bordered:
+            yield edge(part + 1, held)
+
+    return run
 
 
 def _sets(fields: list[str], min_words: int):
@@ -230,23 +280,6 @@ def _sets(fields: list[str], min_words: int):
     return run
 
 
-def _jaccard(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep, sim = [], []
-            for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                u, v = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                s = both / (len(u) + len(v) - both)
-                if s >= least:
-                    keep.append(i)
-                    sim.append(s)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(sim, pa.float64())], ["a", "b", "similarity"])
-
-    return run
-
-
 def _common(x: list[np.ndarray], y: list[np.ndarray] | None) -> np.ndarray:
     """How many triples each set of ``x`` has in common with each of ``y`` (None: of ``x``)."""
     sets = x if y is None else x + y
@@ -271,6 +304,107 @@ def _common(x: list[np.ndarray], y: list[np.ndarray] | None) -> np.ndarray:
     return total
 
 
+def _labels(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The component of each of m nodes under the links (i, j)."""
+    label = np.arange(m)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _checked(least: float, closure: bool):
+    """Of each block of candidates, the rows sorted by it: the alike pairs (and, where the block is a whole component of
+    candidates, all alike pairs of each component of links); and the triples that are asked for again."""
+
+    def common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        if len(sets) > 8 and len(i) > 0.05 * len(sets) ** 2:
+            return _common(sets, None)[i, j].astype(np.float64)
+        return np.array([len(np.intersect1d(sets[p], sets[q], assume_unique=True)) for p, q in zip(i.tolist(), j.tolist(), strict=True)], np.float64)
+
+    def alike(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = np.array([len(x) for x in sets])
+        n = common(sets, i, j)
+        sim = n / (size[i] + size[j] - n)
+        ok = sim >= least
+        return i[ok], j[ok], sim[ok]
+
+    def links(whole: bool, by_class: dict[int, np.ndarray], pairs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = {c: k for k, c in enumerate(by_class)}
+        sets, ids = list(by_class.values()), np.fromiter(by_class, np.int64, len(by_class))
+        i, j, sim = alike(sets, np.array([at[a] for a, _ in pairs], np.int64), np.array([at[b] for _, b in pairs], np.int64))
+        if whole and closure and len(i) > 1:
+            label = _labels(len(sets), i, j)
+            own, n = np.unique(label, return_counts=True)
+            have = np.bincount(label[i], minlength=len(sets))[own]
+            part = own[have < n * (n - 1) // 2]
+            rest = ~np.isin(label[i], part)
+            found = [(i[rest], j[rest], sim[rest])]
+            for c in part.tolist():
+                own = np.flatnonzero(label == c)
+                p, q = np.triu_indices(len(own), 1)
+                x, y, s = alike([sets[k] for k in own], p, q)
+                found.append((own[x], own[y], s))
+            i, j, sim = (np.concatenate([f[k] for f in found]) for k in range(3))
+        return ids[i], ids[j], sim
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
+        sets: dict[int, np.ndarray] = {}
+        pairs: list[tuple[int, int]] = []
+        kept: list[tuple[int, bytes]] = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            nonlocal size
+            x, y, sim = (np.concatenate([f[k] for f in found]) if found else np.empty(0) for k in range(3))
+            x, y = x.astype(np.int64), y.astype(np.int64)
+            n = len(kept)
+            arrays = [
+                pa.array(np.concatenate([np.minimum(x, y), np.array([c for c, _ in kept], np.int64)])),
+                pa.concat_arrays([pa.array(np.maximum(x, y)), pa.nulls(n, pa.int64())]),
+                pa.concat_arrays([pa.array(sim, pa.float64()), pa.nulls(n, pa.float64())]),
+                pa.concat_arrays([pa.nulls(len(x), pa.binary()), pa.array([t for _, t in kept], pa.binary())]),
+            ]
+            found.clear()
+            kept.clear()
+            size = 0
+            return pa.RecordBatch.from_arrays(arrays, ["a", "b", "similarity", "tri"])
+
+        def end() -> None:
+            nonlocal size
+            if pairs:
+                found.append(links(block[3], sets, pairs))
+                size += len(found[-1][0]) + 1
+            sets.clear()
+            pairs.clear()
+
+        for batch in batches:
+            for comp, i, j, whole, a, b, keep, tri in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block is None or block[:3] != (comp, i, j):
+                    end()
+                    block = (comp, i, j, whole)
+                if tri is None:
+                    pairs.append((a, b))
+                elif a not in sets:
+                    sets[a] = np.frombuffer(tri, np.uint32)
+                    if keep:
+                        kept.append((a, tri))
+                        size += 100
+                if size > 200_000:
+                    yield out()
+        end()
+        if size:
+            yield out()
+
+    return run
+
+
 def _crossed(least: float):
     """Alike pairs of each pair of blocks, the rows sorted by it: those of different groups that have no earlier bucket in common."""
 
@@ -323,32 +457,40 @@ def _crossed(least: float):
 
 
 def signatures(sources: list[tuple[DataFrame, str, list[str]]], min_words: int = 30) -> DataFrame:
-    """(field, id, cls, sig) of every text that is long enough. ``sources``: a DataFrame, its id column, its text columns."""
+    """(field, id, cls, sig, n_words) of every text that is long enough. ``sources``: a DataFrame, its id column, its text columns."""
     out = None
     for df, key, fields in sources:
         names = F.create_map(*[F.lit(x) for i, f in enumerate(fields) for x in (i, f)])
-        one = df.select(F.col(key).cast("long").alias("id"), *fields).mapInArrow(_signed(fields, min_words), "field int, id long, cls long, sig binary")
+        one = df.select(F.col(key).cast("long").alias("id"), *fields).mapInArrow(_signed(fields, min_words), "field int, id long, cls long, sig binary, n_words int")
         one = one.withColumn("field", names[F.col("field")])
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """(a, b, prefix): distinct candidate pairs of classes, a < b, without a prefix; and the classes (a) of crowded prefixes, without b."""
-    trees = signed.where("sig is not null").select(F.crc32(F.col("field").cast("binary")).alias("field"), "cls", "sig").mapInArrow(_planted, "prefix long, rest long, cls long, s1 long, s2 long")
-    n = max(int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = trees.repartition(n, "prefix").sortWithinPartitions("prefix", "rest", "cls")
-    return ordered.mapInArrow(_neighbours, "a long, b long, prefix long").distinct()
+def _tasks(n_bytes: int | None) -> int:
+    return max(1, -(-(n_bytes or 0) // TASK_BYTES))
 
 
-def triples_of(sources: list[tuple[DataFrame, str, list[str]]], nodes: DataFrame, n_nodes: int, min_words: int = 30) -> DataFrame:
-    """(cls, tri) of the classes in ``nodes``, once each."""
+def candidates(signed: DataFrame) -> DataFrame:
+    """(a, b, bucket): candidate pairs of classes, a < b, without a bucket; and the classes (a) of crowded nodes, without b."""
+    own = signed.where("sig is not null").select(F.crc32(F.col("field").cast("binary")).alias("field"), "cls", "sig")
+    n = _tasks(own.count() * TREES * 40)
+    shape = ", ".join(f"{c} long" for c in ["a", "b", "bucket", "border", *PLACED.split()])
+    # with the class in the range, a node with a third of all classes is spread over many tasks
+    ordered = own.mapInArrow(_planted, ", ".join(f"{c} long" for c in PLACED.split())).repartitionByRange(n, "k1", "k2", "cls").sortWithinPartitions("k1", "k2", "cls")
+    first = written(ordered.mapInArrow(_neighbours(False), shape).distinct())
+    borders = first.where("border is not null").select("border", *PLACED.split()).repartition("border").sortWithinPartitions("border", "k1", "k2", "cls").drop("border")
+    again = borders.mapInArrow(_neighbours(True), shape)
+    return first.where("border is null").unionByName(again).select("a", "b", "bucket").distinct()
+
+
+def triples_of(sources: list[tuple[DataFrame, str, list[str]]], min_words: int = 30) -> DataFrame:
+    """(cls, tri) of every text that is long enough; a class comes once a task."""
     out = None
     for df, key, fields in sources:
         one = df.select(F.col(key).cast("long").alias("id"), *fields).mapInArrow(_sets(fields, min_words), "cls long, tri binary")
         out = one if out is None else out.unionByName(one)
-    small = F.broadcast(nodes) if n_nodes <= SMALL_NODES else nodes  # 8 MB at most
-    return out.join(small, "cls", "left_semi").dropDuplicates(["cls"])
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -371,25 +513,53 @@ def components(links: DataFrame) -> DataFrame:
 def crossed(members: DataFrame, tri: DataFrame, similarity: float) -> DataFrame:
     """(a, b, similarity): all alike pairs within each bucket. ``members``: bucket, cls, grp, buckets; with grp, only pairs of different ones, in the first of their common buckets."""
     full = members.join(tri, "cls")
-    sizes = full.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("tri")) / BLOCK_BYTES)).cast("int").alias("n"))
-    full = full.join(sizes, "bucket").withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    sizes = full.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("tri")) / BLOCK_BYTES)).cast("int").alias("n"), F.sum(F.length("tri")).alias("bytes"))
+    sizes = written(sizes)
+    full = full.join(sizes.drop("bytes"), "bucket").withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     met = full.select("bucket", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "cls", "grp", "buckets", "tri")
-    n = max(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    n = _tasks(sizes.agg(F.sum(F.col("bytes") * F.col("n"))).first()[0])
     return met.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_crossed(similarity), "a long, b long, similarity double")
 
 
+def checked(sources: list[tuple[DataFrame, str, list[str]]], signed: DataFrame, pairs: DataFrame, crowds: DataFrame, similarity: float, min_words: int, closure: bool) -> DataFrame:
+    """(a, b, similarity, tri): the alike ones of the candidate ``pairs``, completed within the components of links where a
+    component of candidates is one block; without b, the triples of the classes of all other components, and of ``crowds``."""
+    comps = written(components(pairs))
+    lone = crowds.select("cls").distinct().join(comps, "cls", "left_anti").select("cls", F.col("cls").alias("comp"))
+    comps = comps.unionByName(lone)
+    words = signed.where("sig is not null").groupBy("cls").agg(F.max("n_words").alias("n_words"))
+    again = comps.join(crowds.select("cls").distinct(), "cls", "left_semi").select("comp", F.lit(True).alias("again")).distinct()
+    sizes = comps.join(words, "cls").groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.col("n_words") * 4) / BLOCK_BYTES)).cast("int").alias("n"))
+    sizes = sizes.join(again, "comp", "left").withColumn("again", F.coalesce("again", F.lit(False)) | (F.col("n") > 1))
+    homes = written(comps.join(sizes, "comp").withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("n")).cast("int")))
+    a, b = (homes.select(F.col("cls").alias(c), "comp", "n", F.col("blk").alias(f"of_{c}")) for c in ("a", "b"))
+    asked = written(pairs.join(a, "a").join(b.drop("comp", "n"), "b").select("comp", F.least("of_a", "of_b").alias("i"), F.greatest("of_a", "of_b").alias("j"), (F.col("n") == 1).alias("whole"), "a", "b"))
+    block = ["comp", "i", "j", "whole"]
+    many = asked.where("not whole").select(*block, F.explode(F.array("a", "b")).alias("cls")).distinct()
+    home = homes.select("comp", F.col("blk").alias("i"), F.col("blk").alias("j"), (F.col("n") == 1).alias("whole"), "cls", F.col("again").alias("keep")).where("whole or keep")
+    places = home.unionByName(many.join(homes.select("cls", F.col("blk").alias("at")), "cls").where("i <> at or j <> at").select(*block, "cls", F.lit(False).alias("keep")))
+    triples = places.join(triples_of(sources, min_words), "cls").select(*block, F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "keep", "tri")
+    rows = triples.unionByName(asked.select(*block, "a", "b", F.lit(False).alias("keep"), F.lit(None).cast("binary").alias("tri")))
+    n = _tasks(homes.join(words, "cls").agg(F.sum(F.col("n_words") * 4)).first()[0])
+    ordered = rows.repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", F.col("tri").isNull())
+    return written(ordered.mapInArrow(_checked(similarity, closure), "a long, b long, similarity double, tri binary"))
+
+
 def similar_classes(sources: list[tuple[DataFrame, str, list[str]]], signed: DataFrame, similarity: float, min_words: int = 30, closure: bool = True) -> DataFrame:
     """(a, b, similarity): pairs of different classes that are alike."""
     found = written(candidates(signed))
     pairs = found.where("b is not null").select("a", "b")
-    crowds = found.where("b is null").select(F.col("prefix").alias("bucket"), F.col("a").alias("cls"))
-    nodes = found.select(F.explode(F.array_compact(F.array("a", "b"))).alias("cls")).distinct()
-    tri = written(triples_of(sources, nodes, nodes.count(), min_words))
-    x, y = tri.select(F.col("cls").alias("a"), F.col("tri").alias("x")), tri.select(F.col("cls").alias("b"), F.col("tri").alias("y"))
-    alike = written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_jaccard(similarity), "a long, b long, similarity double"))
-    comps = written(components(alike))
-
-    # crowded prefixes whose classes are not one component yet
+    crowds = found.where("b is null").select("bucket", F.col("a").alias("cls"))
+    first = checked(sources, signed, pairs, crowds, similarity, min_words, closure)
+    alike = first.where("b is not null").select("a", "b", "similarity")
+    tri = first.where("b is null").select(F.col("a").alias("cls"), "tri")
+    if tri.isEmpty():
+        return alike
+    # what is left: components of several blocks, and those with a class of a crowded node
+    far = alike.join(tri.select(F.col("cls").alias("a")), "a", "left_semi").select("a", "b", "similarity")
+    near = alike.join(tri.select(F.col("cls").alias("a")), "a", "left_anti").select("a", "b", "similarity")
+    comps = written(components(far))
+    # crowded nodes whose classes are not one component yet
     crowds = crowds.join(comps, "cls", "left").select("bucket", "cls", F.coalesce("comp", "cls").alias("grp"))
     mixed = crowds.groupBy("bucket").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("bucket")
     crowds = written(crowds.join(mixed, "bucket"))
@@ -397,18 +567,18 @@ def similar_classes(sources: list[tuple[DataFrame, str, list[str]]], signed: Dat
         every = crowds.groupBy("cls").agg(F.collect_set("bucket").alias("buckets"))  # TREES at most
         more = written(crossed(crowds.join(every, "cls"), tri, similarity))
         if not more.isEmpty():
-            alike = written(alike.unionByName(more))
-            comps = written(components(alike))
+            far = written(far.unionByName(more))
+            comps = written(components(far))
     if not closure:
-        return alike
+        return near.unionByName(far)
     # components that lack a pair
-    have = alike.join(comps, alike["a"] == comps["cls"]).groupBy("comp").agg(F.count("*").alias("links"))
+    have = far.join(comps, far["a"] == comps["cls"]).groupBy("comp").agg(F.count("*").alias("links"))
     part = comps.groupBy("comp").agg(F.count("*").alias("n")).join(have, "comp").where("links < n * (n - 1) / 2").select("comp")
     members = written(comps.join(part, "comp").select(F.col("comp").alias("bucket"), "cls", F.lit(None).cast("long").alias("grp"), F.lit(None).cast("array<long>").alias("buckets")))
     if members.isEmpty():
-        return alike
-    whole = alike.join(members.select(F.col("cls").alias("a")), "a", "left_anti").select("a", "b", "similarity")
-    return whole.unionByName(crossed(members, tri, similarity))
+        return near.unionByName(far)
+    whole = far.join(members.select(F.col("cls").alias("a")), "a", "left_anti").select("a", "b", "similarity")
+    return near.unionByName(whole).unionByName(crossed(members, tri, similarity))
 
 
 def similar_pairs(sources: list[tuple[DataFrame, str, list[str]]], similarity: float = 0.8, min_words: int = 30, closure: bool = True) -> DataFrame:
@@ -418,14 +588,21 @@ def similar_pairs(sources: list[tuple[DataFrame, str, list[str]]], similarity: f
     classes = similar_classes(sources, signed, similarity, min_words, closure)
     left, right = members.select("field", F.col("id").alias("p"), F.col("cls").alias("a")), members.select(F.col("id").alias("q"), F.col("cls").alias("b"))
     across = classes.join(left, "a").join(right, "b").select("field", "p", "q", "similarity")
-    equal = left.join(right, F.col("a") == F.col("b")).where("p < q").select("field", "p", "q", F.lit(1.0).alias("similarity"))
+    # a class with a third of all rows: its members are parted, and each part meets all members
+    parts = members.groupBy("cls").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts")).where("parts > 1 or parts is null")
+    dealt = left.join(parts.withColumnRenamed("cls", "a"), "a", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    mine = dealt.withColumn("part", F.pmod(F.xxhash64("p"), F.col("parts")).cast("int")).drop("parts")
+    all_ = dealt.select(F.col("p").alias("q"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    equal = mine.join(all_, ["a", "part"]).where("p < q").select("field", "p", "q", F.lit(1.0).alias("similarity"))
     both = across.unionByName(equal).where("p <> q")
     return both.select("field", F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"), "similarity")
 
 
 def groups(sources: list[tuple[DataFrame, str, list[str]]], similarity: float = 0.8, min_words: int = 30) -> DataFrame:
-    """(field, id, class_id, n_links): every text that is long enough, its class of equal texts, and to how many other classes that one is alike."""
+    """(field, id, class_id, group_id, n_links): every text that is long enough, its class of equal texts, the group of classes
+    that links lead to (its least class), and to how many other classes that one is alike."""
     signed = written(signatures(sources, min_words))
-    alike = similar_classes(sources, signed, similarity, min_words)
+    alike = written(similar_classes(sources, signed, similarity, min_words).select("a", "b"))
     links = alike.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
-    return signed.select("field", "id", "cls").join(links, "cls", "left").select("field", "id", F.col("cls").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = signed.select("field", "id", "cls").join(links.join(components(alike), "cls"), "cls", "left")
+    return rows.select("field", "id", F.col("cls").alias("class_id"), F.coalesce("comp", "cls").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

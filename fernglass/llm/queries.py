@@ -98,8 +98,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text of 30 words or more, its class of equal texts, and the number of classes alike by 0.8."""
-    return neardup.groups(_texts(spark, sf_dir))
+    """Every text of 30 words or more, its class of equal texts, its group of classes alike by 0.5, and its links."""
+    return neardup.groups(_texts(spark, sf_dir), similarity=0.5)
 
 
 def _notices(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -318,8 +318,9 @@ def _labels(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _checked(least: float, closure: bool):
-    """Of each block of candidates, the rows sorted by it: the alike pairs (and, where the block is a whole component of
-    candidates, all alike pairs of each component of links); and the triples that are asked for again."""
+    """Of each block of candidates: the alike pairs (and, where the block is a whole component of candidates, all alike pairs
+    of each component of links); and the triples that are asked for again. The rows are sorted: first the block's own
+    classes, then each guest from another block before its pairs, so that only the block is held."""
 
     def common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
         if len(sets) > 8 and len(i) > 0.05 * len(sets) ** 2:
@@ -333,11 +334,11 @@ def _checked(least: float, closure: bool):
         ok = sim >= least
         return i[ok], j[ok], sim[ok]
 
-    def links(whole: bool, by_class: dict[int, np.ndarray], pairs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def links(by_class: dict[int, np.ndarray], pairs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = {c: k for k, c in enumerate(by_class)}
         sets, ids = list(by_class.values()), np.fromiter(by_class, np.int64, len(by_class))
         i, j, sim = alike(sets, np.array([at[a] for a, _ in pairs], np.int64), np.array([at[b] for _, b in pairs], np.int64))
-        if whole and closure and len(i) > 1:
+        if closure and len(i) > 1:
             label = _labels(len(sets), i, j)
             own, n = np.unique(label, return_counts=True)
             have = np.bincount(label[i], minlength=len(sets))[own]
@@ -355,6 +356,7 @@ def _checked(least: float, closure: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = None
         sets: dict[int, np.ndarray] = {}
+        guest: tuple[int, np.ndarray] | None = None
         pairs: list[tuple[int, int]] = []
         kept: list[tuple[int, bytes]] = []
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -379,23 +381,32 @@ def _checked(least: float, closure: bool):
         def end() -> None:
             nonlocal size
             if pairs:
-                found.append(links(block[3], sets, pairs))
+                found.append(links(sets, pairs))
                 size += len(found[-1][0]) + 1
             sets.clear()
             pairs.clear()
 
         for batch in batches:
-            for comp, i, j, whole, a, b, keep, tri in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if block is None or block[:3] != (comp, i, j):
+            for comp, j, whole, visit, a, b, keep, tri in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block is None or block[:2] != (comp, j):
                     end()
-                    block = (comp, i, j, whole)
-                if tri is None:
+                    block, guest = (comp, j, whole), None
+                if tri is not None and visit:
+                    guest = (a, np.frombuffer(tri, np.uint32))
+                elif tri is not None:
+                    if a not in sets:
+                        sets[a] = np.frombuffer(tri, np.uint32)
+                        if keep:
+                            kept.append((a, tri))
+                            size += 100
+                elif whole:
                     pairs.append((a, b))
-                elif a not in sets:
-                    sets[a] = np.frombuffer(tri, np.uint32)
-                    if keep:
-                        kept.append((a, tri))
-                        size += 100
+                else:
+                    x, y = guest[1] if guest is not None and guest[0] == a else sets[a], sets[b]
+                    n = len(np.intersect1d(x, y, assume_unique=True))
+                    if n >= least * (len(x) + len(y) - n):
+                        found.append((np.array([a]), np.array([b]), np.array([n / (len(x) + len(y) - n)])))
+                        size += 1
                 if size > 200_000:
                     yield out()
         end()
@@ -478,7 +489,7 @@ def candidates(signed: DataFrame) -> DataFrame:
     shape = ", ".join(f"{c} long" for c in ["a", "b", "bucket", "border", *PLACED.split()])
     # with the class in the range, a node with a third of all classes is spread over many tasks
     ordered = own.mapInArrow(_planted, ", ".join(f"{c} long" for c in PLACED.split())).repartitionByRange(n, "k1", "k2", "cls").sortWithinPartitions("k1", "k2", "cls")
-    first = written(ordered.mapInArrow(_neighbours(False), shape).distinct())
+    first = written(ordered.mapInArrow(_neighbours(False), shape))
     borders = first.where("border is not null").select("border", *PLACED.split()).repartition("border").sortWithinPartitions("border", "k1", "k2", "cls").drop("border")
     again = borders.mapInArrow(_neighbours(True), shape)
     return first.where("border is null").unionByName(again).select("a", "b", "bucket").distinct()
@@ -504,20 +515,19 @@ def components(links: DataFrame) -> DataFrame:
         state = now
         ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = ways.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = ways.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = written(small.distinct())
 
 
 def crossed(members: DataFrame, tri: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, similarity): all alike pairs within each bucket. ``members``: bucket, cls, grp, buckets; with grp, only pairs of different ones, in the first of their common buckets."""
-    full = members.join(tri, "cls")
-    sizes = full.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("tri")) / BLOCK_BYTES)).cast("int").alias("n"), F.sum(F.length("tri")).alias("bytes"))
-    sizes = written(sizes)
-    full = full.join(sizes.drop("bytes"), "bucket").withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    met = full.select("bucket", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "cls", "grp", "buckets", "tri")
+    """(a, b, similarity): all alike pairs within each bucket. ``members``: bucket, cls, grp, buckets; with grp, only pairs of different ones, in the first of their common buckets. ``tri``: cls, tri, n_words."""
+    words = tri.select("cls", "n_words")
+    sizes = written(members.select("bucket", "cls").join(words, "cls").groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.col("n_words") * 4) / BLOCK_BYTES)).cast("int").alias("n"), F.sum(F.col("n_words") * 4).alias("bytes")))
     n = _tasks(sizes.agg(F.sum(F.col("bytes") * F.col("n"))).first()[0])
+    small = members.join(sizes.select("bucket", "n"), "bucket").withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    met = small.join(tri.select("cls", "tri"), "cls").select("bucket", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "cls", "grp", "buckets", "tri")
     return met.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_crossed(similarity), "a long, b long, similarity double")
 
 
@@ -529,19 +539,20 @@ def checked(sources: list[tuple[DataFrame, str, list[str]]], signed: DataFrame,
     comps = comps.unionByName(lone)
     words = signed.where("sig is not null").groupBy("cls").agg(F.max("n_words").alias("n_words"))
     again = comps.join(crowds.select("cls").distinct(), "cls", "left_semi").select("comp", F.lit(True).alias("again")).distinct()
-    sizes = comps.join(words, "cls").groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.col("n_words") * 4) / BLOCK_BYTES)).cast("int").alias("n"))
+    comps = comps.join(words, "cls")
+    sizes = comps.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.col("n_words") * 4) / BLOCK_BYTES)).cast("int").alias("n"))
     sizes = sizes.join(again, "comp", "left").withColumn("again", F.coalesce("again", F.lit(False)) | (F.col("n") > 1))
     homes = written(comps.join(sizes, "comp").withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("n")).cast("int")))
     a, b = (homes.select(F.col("cls").alias(c), "comp", "n", F.col("blk").alias(f"of_{c}")) for c in ("a", "b"))
-    asked = written(pairs.join(a, "a").join(b.drop("comp", "n"), "b").select("comp", F.least("of_a", "of_b").alias("i"), F.greatest("of_a", "of_b").alias("j"), (F.col("n") == 1).alias("whole"), "a", "b"))
-    block = ["comp", "i", "j", "whole"]
-    many = asked.where("not whole").select(*block, F.explode(F.array("a", "b")).alias("cls")).distinct()
-    home = homes.select("comp", F.col("blk").alias("i"), F.col("blk").alias("j"), (F.col("n") == 1).alias("whole"), "cls", F.col("again").alias("keep")).where("whole or keep")
-    places = home.unionByName(many.join(homes.select("cls", F.col("blk").alias("at")), "cls").where("i <> at or j <> at").select(*block, "cls", F.lit(False).alias("keep")))
-    triples = places.join(triples_of(sources, min_words), "cls").select(*block, F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "keep", "tri")
+    asked = written(pairs.join(a, "a").join(b.drop("comp", "n"), "b").select("comp", F.col("of_b").alias("j"), (F.col("n") == 1).alias("whole"), F.lit(True).alias("visit"), "a", "b", (F.col("of_a") != F.col("of_b")).alias("far")))
+    block = ["comp", "j", "whole", "visit"]
+    # each class's triples stand in its own block once, and visit the blocks of its partners
+    home = homes.select("comp", F.col("blk").alias("j"), (F.col("n") == 1).alias("whole"), F.lit(False).alias("visit"), "cls", F.col("again").alias("keep"))
+    guests = asked.where("far").select(*block, F.col("a").alias("cls"), F.lit(False).alias("keep")).distinct()
+    triples = home.unionByName(guests).join(triples_of(sources, min_words), "cls").select(*block, F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "keep", "tri")
     rows = triples.unionByName(asked.select(*block, "a", "b", F.lit(False).alias("keep"), F.lit(None).cast("binary").alias("tri")))
-    n = _tasks(homes.join(words, "cls").agg(F.sum(F.col("n_words") * 4)).first()[0])
-    ordered = rows.repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", F.col("tri").isNull())
+    n = _tasks(homes.agg(F.sum(F.col("n_words") * 4)).first()[0])
+    ordered = rows.repartition(n, "comp", "j").sortWithinPartitions("comp", "j", "visit", "a", F.col("tri").isNull())
     return written(ordered.mapInArrow(_checked(similarity, closure), "a long, b long, similarity double, tri binary"))
 
 
@@ -552,33 +563,42 @@ def similar_classes(sources: list[tuple[DataFrame, str, list[str]]], signed: Dat
     crowds = found.where("b is null").select("bucket", F.col("a").alias("cls"))
     first = checked(sources, signed, pairs, crowds, similarity, min_words, closure)
     alike = first.where("b is not null").select("a", "b", "similarity")
-    tri = first.where("b is null").select(F.col("a").alias("cls"), "tri")
+    tri = first.where("b is null").select(F.col("a").alias("cls"), "tri", F.expr("length(tri) div 4").alias("n_words"))
     if tri.isEmpty():
         return alike
     # what is left: components of several blocks, and those with a class of a crowded node
     far = alike.join(tri.select(F.col("cls").alias("a")), "a", "left_semi").select("a", "b", "similarity")
     near = alike.join(tri.select(F.col("cls").alias("a")), "a", "left_anti").select("a", "b", "similarity")
     comps = written(components(far))
-    # crowded nodes whose classes are not one component yet
+
+    def part(far: DataFrame, comps: DataFrame) -> DataFrame:
+        """The members of the components that lack a pair."""
+        have = far.join(comps, far["a"] == comps["cls"]).groupBy("comp").agg(F.count("*").alias("links"))
+        lack = comps.groupBy("comp").agg(F.count("*").alias("n")).join(have, "comp").where("links < n * (n - 1) / 2").select("comp")
+        return comps.join(lack, "comp").select(F.col("comp").alias("bucket"), "cls", F.lit(None).cast("long").alias("grp"), F.lit(None).cast("array<long>").alias("buckets"))
+
+    # crowded nodes whose classes are not one component yet, together with the components that lack a pair
     crowds = crowds.join(comps, "cls", "left").select("bucket", "cls", F.coalesce("comp", "cls").alias("grp"))
     mixed = crowds.groupBy("bucket").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("bucket")
-    crowds = written(crowds.join(mixed, "bucket"))
-    if not crowds.isEmpty():
-        every = crowds.groupBy("cls").agg(F.collect_set("bucket").alias("buckets"))  # TREES at most
-        more = written(crossed(crowds.join(every, "cls"), tri, similarity))
-        if not more.isEmpty():
-            far = written(far.unionByName(more))
-            comps = written(components(far))
-    if not closure:
+    crowds = crowds.join(mixed, "bucket")
+    every = crowds.groupBy("cls").agg(F.collect_set("bucket").alias("buckets"))  # TREES at most
+    members = crowds.join(every, "cls").select("bucket", "cls", "grp", "buckets")
+    members = written(members.unionByName(part(far, comps)) if closure else members)
+    if members.isEmpty():
+        return near.unionByName(far)
+    more = written(crossed(members, tri, similarity))
+    new = more.join(far.select("a", "b"), ["a", "b"], "left_anti")
+    far = written(far.unionByName(new))
+    of_a, of_b = (comps.select(F.col("cls").alias(c), F.col("comp").alias(f"of_{c}")) for c in ("a", "b"))
+    joins = new.join(of_a, "a", "left").join(of_b, "b", "left").where(~F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False)))
+    if not closure or joins.isEmpty():
         return near.unionByName(far)
-    # components that lack a pair
-    have = far.join(comps, far["a"] == comps["cls"]).groupBy("comp").agg(F.count("*").alias("links"))
-    part = comps.groupBy("comp").agg(F.count("*").alias("n")).join(have, "comp").where("links < n * (n - 1) / 2").select("comp")
-    members = written(comps.join(part, "comp").select(F.col("comp").alias("bucket"), "cls", F.lit(None).cast("long").alias("grp"), F.lit(None).cast("array<long>").alias("buckets")))
+    # crowded nodes joined components: these are completed once more
+    members = written(part(far, written(components(far))))
     if members.isEmpty():
         return near.unionByName(far)
-    whole = far.join(members.select(F.col("cls").alias("a")), "a", "left_anti").select("a", "b", "similarity")
-    return near.unionByName(whole).unionByName(crossed(members, tri, similarity))
+    new = crossed(members, tri, similarity).join(far.select("a", "b"), ["a", "b"], "left_anti")
+    return near.unionByName(far).unionByName(new)
 
 
 def similar_pairs(sources: list[tuple[DataFrame, str, list[str]]], similarity: float = 0.8, min_words: int = 30, closure: bool = True) -> DataFrame:

@@ -78,30 +78,31 @@ def train(feats: np.ndarray, starts: np.ndarray, lens: np.ndarray, labels: np.nd
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (crf.weights, crf.trans, crf.begin, crf.end)]
     for step in range(1, steps + 1):
         unary = crf.scores(feats, starts)
-        alpha, beta = np.zeros((longest, n, 2)), np.zeros((longest, n, 2))
+        alpha, beta = np.zeros((len(unary), 2)), np.zeros((len(unary), 2))  # by node: sequences of any length take what they hold
         for t in range(longest):
-            u = unary[first[on[t]] + t]
-            alpha[t, on[t]] = u + (crf.begin if t == 0 else _lse(alpha[t - 1, on[t]][:, :, None] + crf.trans[None], 1))
+            at = first[on[t]] + t
+            alpha[at] = unary[at] + (crf.begin if t == 0 else _lse(alpha[at - 1][:, :, None] + crf.trans[None], 1))
         for t in range(longest - 1, -1, -1):
             last = lens[on[t]] == t + 1
-            beta[t, on[t][last]] = crf.end
-            rest = on[t][~last]
+            beta[first[on[t][last]] + t] = crf.end
+            rest = first[on[t][~last]] + t
             if len(rest):
-                nxt = unary[first[rest] + t + 1] + beta[t + 1, rest]
-                beta[t, rest] = _lse(crf.trans[None] + nxt[:, None, :], 2)
+                nxt = unary[rest + 1] + beta[rest + 1]
+                beta[rest] = _lse(crf.trans[None] + nxt[:, None, :], 2)
         z = np.zeros(n)
         some = on[0] if longest else np.empty(0, int)
-        z[some] = _lse(alpha[0, some] + beta[0, some], 1)
+        z[some] = _lse(alpha[first[some]] + beta[first[some]], 1)
         p1 = np.zeros(len(unary))
         g_trans, g_begin, g_end = -empirical_trans.copy(), -empirical_begin.copy(), -empirical_end.copy()
         for t in range(longest):
-            p = np.exp(alpha[t, on[t]] + beta[t, on[t]] - z[on[t], None])
-            p1[first[on[t]] + t] = p[:, 1]
+            at = first[on[t]] + t
+            p = np.exp(alpha[at] + beta[at] - z[on[t], None])
+            p1[at] = p[:, 1]
             if t == 0:
                 g_begin += p.sum(0)
             else:
-                nxt = unary[first[on[t]] + t] + beta[t, on[t]]
-                g_trans += np.exp(alpha[t - 1, on[t]][:, :, None] + crf.trans[None] + nxt[:, None, :] - z[on[t], None, None]).sum(0)
+                nxt = unary[at] + beta[at]
+                g_trans += np.exp(alpha[at - 1][:, :, None] + crf.trans[None] + nxt[:, None, :] - z[on[t], None, None]).sum(0)
             last = lens[on[t]] == t + 1
             g_end += p[last].sum(0)
         g_weights = np.bincount(feats, (p1 - labels)[node_of], minlength=dim)

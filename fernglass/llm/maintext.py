@@ -1,21 +1,26 @@
 """Main text of pages and article bodies, without what the site put around it (problem 5).
 
-Every line that shows text is a leaf block: of an HTML page with its tag, ancestors and links, of a
-Markdown body with its marks. A linear-chain conditional random field labels the blocks of a
-document as main text or boilerplate, decoded by Viterbi.
-
-The field is trained here, on ``TRAIN_DOCS`` documents of each kind (a sample by hash of the id: the
-one bound). Their lines are labelled by labelling functions over what marks boilerplate beyond
-doubt: semantic containers (nav, header, footer, aside), blocks that are all link, blocks beside the
-element that holds the page's first heading, and lines that name the site, a mail address or a
-copyright, or that end without a full stop and are no heading, list or quotation. The features do
-not hold these functions as such: words, shapes, places and ancestors carry the labels over to
-documents without semantic markup.
+The leaf blocks of an HTML page are the runs of text between the borders of its block elements, each with its tag,
+ancestors and links; those of a Markdown body are its lines with their marks. A linear-chain
+conditional random field labels the blocks of a document as main text or boilerplate, decoded by
+Viterbi. A line of a page is boilerplate if it shows text and all its blocks are boilerplate; a block that
+goes over several lines gives them all its label.
+
+The field is trained here, on a sample of ``TRAIN_DOCS`` documents of each kind by hash of the id, as far
+as they fit ``TRAIN_CHARS`` characters in that order (the two bounds). No page comes with labels: the
+blocks are labelled by labelling functions over what marks boilerplate beyond doubt: semantic
+containers (nav, header, footer, aside), blocks that are all link, blocks beside the element that
+holds the page's first heading, and blocks of at most two sentences that name the site, a mail address or a
+copyright, or that end without a full stop and are no heading, list or quotation. Some features of the field see the
+same marks (ancestors, links, ends), others do not (words, shapes, places, neighbours by the chain); the
+latter carry the labels over to documents without the marks.
 
 Defined cases: null and empty bodies have no lines. Bytes are decoded as UTF-8, else by the reply's
 or the page's character set, else Windows-1252; line numbers count "\n". Text outside the body
-element (where there is one), comments, scripts and styles show no text. Very long documents are one
-sequence each, whatever their length; repeated rows come out repeatedly; extra columns are ignored.
+element (where there is one), comments, scripts and styles show no text. Text of a page outside all block elements,
+or in ``pre``, ends at "\n" too. Documents and lines of any length get the same features, in time linear in their length;
+very long documents are trained on in pieces of ``PIECE`` blocks and decoded whole. Repeated rows come out repeatedly;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ import html
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +39,22 @@ from fernglass.llm.crf import Crf, train
 
 DIM = 1 << 16
 TRAIN_DOCS = 1500
-#: Lines with more words than this are told by their shape alone.
-WORDY = 30
+TRAIN_CHARS = 30_000_000
+#: Blocks of one training sequence.
+PIECE = 300
 
 _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)([^>]*)>|\n|[^<\n]+|<", re.S | re.I)
 _VOID = {"br", "img", "hr", "meta", "link", "input", "source", "wbr", "area", "base", "col", "embed", "track"}
 _INLINE = {"a", "b", "i", "em", "strong", "span", "small", "u", "sub", "sup", "code", "abbr", "time", "mark", "q", "cite", "font", "br", "img"}
+_UNBROKEN = {"html", "body", "pre", "textarea"}
 _APART = {"nav", "header", "footer", "aside", "form"}
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?([\w-]+)", re.I)
 _SITE = re.compile(r"<meta\s[^>]*property=[\"']og:site_name[\"'][^>]*content=[\"']([^\"']*)", re.I)
-_END = re.compile(r"[.!?…][\"'”»«)\]*_]*$")
+_STOPS, _CLOSERS = tuple(".!?…"), "\"'”»«)]*_"
 _SENTENCE = re.compile(r"[.!?…](?=\s|$)")
-_LINK = re.compile(r"\[([^\]\n]*)\]\([^)\s]*\)")
+_LINK = re.compile(r"\[([^\[\]\n]*)\]\([^()\s]*\)")
 _FIGURES = re.compile(r"^[-*•]?\s*[^:]{1,60}:\s*\d")
+_ROW = re.compile(r"\s[|·/>›»•]\s|\S {2,}\S")
 _WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 
 
@@ -63,15 +72,24 @@ def decode_page(body: bytes, charset: str | None) -> str:
         return body.decode("cp1252", "replace")
 
 
+def _stops(text: str) -> bool:
+    """Whether a text ends with the end of a sentence."""
+    return text.rstrip(_CLOSERS).endswith(_STOPS)
+
+
 class Block:
-    """A line that shows text."""
+    """A leaf block: text, and the lines that show it."""
 
-    __slots__ = ("above", "inside", "line_no", "linked", "path", "tag", "text")
+    __slots__ = ("above", "inside", "lines", "linked", "path", "tag", "text")
 
     def __init__(self, line_no: int, tag: str, above: frozenset, path: tuple) -> None:
-        self.line_no, self.tag, self.above, self.path = line_no, tag, above, path
+        self.lines, self.tag, self.above, self.path = [line_no], tag, above, path
         self.text, self.linked, self.inside = "", 0, False
 
+    @property
+    def line_no(self) -> int:
+        return self.lines[0]
+
 
 def page_blocks(page: str) -> tuple[list[Block], str]:
     """The blocks of an HTML page, and the site's name as the page gives it."""
@@ -81,14 +99,20 @@ def page_blocks(page: str) -> tuple[list[Block], str]:
     has_body = re.search(r"<body\b", page, re.I) is not None
     open_body, line, made, links = not has_body, 0, 0, 0
     now: Block | None = None
+    plain = False  # the block's lines stand for themselves
     heading: tuple | None = None
     for m in _PIECE.finditer(page):
         t = m[0]
         if t == "\n":
             line += 1
-            now = None
+            if now is not None:
+                now.text += " "
+                if plain:
+                    now = None
         elif m[3]:
             tag = m[3].lower()
+            if tag not in _INLINE:
+                now = None  # the border of a block element
             if tag == "body":
                 open_body = has_body and not m[2]
             elif m[2]:
@@ -111,9 +135,12 @@ def page_blocks(page: str) -> tuple[list[Block], str]:
         elif open_body and t.strip():
             if now is None:
                 block = [x for x in stack if x[0] not in _INLINE]
+                plain = not block or block[-1][0] in _UNBROKEN
                 leaf = next((x[0] for x in reversed(stack) if x[0] in ("small", "span")), None) or (block[-1][0] if block else "")
                 now = Block(line, leaf, frozenset(x for x, _ in stack), tuple(k for _, k in stack))
                 blocks.append(now)
+            elif now.lines[-1] != line:
+                now.lines.append(line)
             text = html.unescape(t)
             now.text += text
             if links:
@@ -146,66 +173,80 @@ def _code(f: str) -> int:
     return c
 
 
+_word_codes: dict[str, int] = {}
+
+
+def _word_features(low: str) -> list[int]:
+    """Of each distinct word of the lower-case text, and of its first two and last."""
+    toks = _WORD.findall(low)
+    if not toks:
+        return []
+    known = _word_codes
+    out = []
+    for t in dict.fromkeys(toks):
+        c = known.get(t)
+        if c is None:
+            if len(known) > 400_000:
+                known.clear()
+            c = known[t] = zlib.crc32(("w 0" if t.isdigit() else "w " + t).encode("utf-8", "replace")) & (DIM - 1)
+        out.append(c)
+    first, last = ["0" if t.isdigit() else t for t in toks[:2]], "0" if toks[-1].isdigit() else toks[-1]
+    return [*out, _code("first " + " ".join(first)), _code("last " + last)]
+
+
 def features(blocks: list[Block], site: str, is_page: bool) -> list[list[int]]:
     """Hashed features of every block of one document."""
     site = " ".join((site or "").lower().split())
     out, n = [], len(blocks)
+    kind = "page" if is_page else "body"
     before = -2
     for i, b in enumerate(blocks):
-        long = len(b.text) > 600
-        s = b.text.strip() if long else " ".join(b.text.split())
-        kind = "page" if is_page else "body"
+        s = " ".join(b.text.split())
         f = [kind, f"{kind} from start {min(i, 3)}", f"{kind} from end {min(n - 1 - i, 6)}"]
         if not is_page:
             f.append("joined" if b.line_no == before + 1 else "apart")
         before = b.line_no
-        long = long or len(s) > 400
-        words = 99 if long else len(s.split())
-        f.append(f"words {min(words, 12) if words <= WORDY else 'many'}")
-        plain = s if long else _LINK.sub(r"\1", s)
-        end = "stop" if _END.search(plain[-16:]) else plain[-1:] if not plain[-1:].isalnum() else "open"
-        many = min(len(_SENTENCE.findall(plain)), 2) if not long else 2
+        words = s.count(" ") + 1
+        f.append(f"words {min(words, 12) if words <= 30 else 'many'}")
+        plain = _LINK.sub(r"\1", s) if "](" in s else s
+        end = "stop" if _stops(plain) else plain[-1:] if not plain[-1:].isalnum() else "open"
+        many = sum(1 for _ in islice(_SENTENCE.finditer(plain), 2))
         mark = plain[:1] if not plain[:1].isalnum() else "letter"
         f += [f"end {end}", f"sentences {many}", f"mark {mark}", f"end {end} sentences {many}", f"mark {mark} end {end}"]
-        if words <= WORDY:
-            low = plain.lower()
-            if site and site in low:
-                low = low.replace(site, " ownsite ")
-            if _FIGURES.match(plain):
-                f.append("figures")
-            if plain.isupper():
-                f.append("capitals")
-            if "@" in plain:
-                f.append("mail")
-            if re.search(r"\s[|·/>›»•]\s|\S {2,}\S", b.text.strip()):
-                f.append("row")
-            toks = ["0" if t.isdigit() else t for t in _WORD.findall(low)]
-            f += ["w " + t for t in toks]
-            if toks:
-                f += ["first " + " ".join(toks[:2]), "last " + toks[-1]]
+        low = plain.lower()
+        if site and site in low:
+            low = low.replace(site, " ownsite ")
+        if _FIGURES.match(plain):
+            f.append("figures")
+        if plain.isupper():
+            f.append("capitals")
+        if "@" in plain:
+            f.append("mail")
+        if _ROW.search(b.text.strip()):
+            f.append("row")
         if is_page:
             f += ["tag " + b.tag, "beside heading" if not b.inside else "with heading", f"tag {b.tag} end {end} {b.inside}"]
             f += ["above " + a for a in b.above]
             share = b.linked / max(len(s), 1)
             f.append("link all" if share > 0.85 else "link some" if share else "link none")
             f.append(f"end {end} {b.inside}")
-        out.append([_code(x) for x in f])
+        out.append([*map(_code, f), *_word_features(low)])
     return out
 
 
 def weak_label(b: Block, site: str, is_page: bool) -> int:
     """1 (boilerplate) or 0 by the labelling functions."""
     s = " ".join(b.text.split())
-    plain = _LINK.sub(r"\1", s) if len(s) <= 4000 else s
+    plain = _LINK.sub(r"\1", s) if "](" in s else s
     if is_page and (not b.inside or b.above & _APART or b.linked > 0.85 * len(s)):
         return 1
     if is_page and b.tag in ("h1", "h2", "h3", "h4"):
         return int(bool(site) and site.lower() in s.lower())
-    if len(plain) < 300 and ((site and site.lower() in plain.lower()) or "©" in plain or re.search(r"\S@\S+\.\S", plain)):
+    if ((site and site.lower() in plain.lower()) or "©" in plain or re.search(r"\S@\S+\.\S", plain)) and sum(1 for _ in islice(_SENTENCE.finditer(plain), 3)) < 3:
         return 1
     if plain.startswith("#") or _FIGURES.match(plain) and plain[:1] in "-*" or is_page and b.tag == "li" and _FIGURES.match(plain):
         return 0
-    return int(not _END.search(plain))
+    return int(not _stops(plain))
 
 
 def _documents(batch: pa.RecordBatch, is_page: bool):
@@ -225,18 +266,25 @@ def _flat(docs: list[list[list[int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return feats, starts, np.array([len(d) for d in docs], np.int64)
 
 
-def fit(bodies: DataFrame | None, pages: DataFrame | None, train_docs: int = TRAIN_DOCS) -> Crf:
+def fit(bodies: DataFrame | None, pages: DataFrame | None, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Crf:
     """Train on a bounded sample. ``bodies``: id, text, site; ``pages``: id, bytes, character set (by position)."""
     docs, labels = [], []
     for df, is_page in ((bodies, False), (pages, True)):
         if df is None:
             continue
         key, text, more = df.columns[:3]
-        sample = df.where(F.length(text).between(1, 100_000)).orderBy(F.xxhash64(key), key).limit(train_docs)
+        sizes = df.where(F.length(text) > 0).select(key, F.length(text).alias("size")).orderBy(F.xxhash64(key), key).limit(train_docs).collect()  # at most train_docs numbers
+        ids, left = [], train_chars
+        for i, size in sizes:
+            if size <= left:
+                ids.append(i)
+                left -= size
+        sample = df.where(F.col(key).isin(ids)).orderBy(F.xxhash64(key), key)
         for batch in sample.select(key, text, more).toArrow().to_batches():
             for _, blocks, site in _documents(batch, is_page):
                 if blocks:
-                    docs.append(features(blocks, site, is_page))
+                    feats = features(blocks, site, is_page)
+                    docs += [feats[lo : lo + PIECE] for lo in range(0, len(feats), PIECE)]
                     labels += [weak_label(b, site, is_page) for b in blocks]
     return train(*_flat(docs), np.array(labels, np.int64), DIM)
 
@@ -254,15 +302,20 @@ def boilerplate_lines(df: DataFrame, crf: Crf, is_page: bool) -> DataFrame:
                 for i, bs, site in _documents(part, is_page):
                     if bs:
                         rows.append(i)
-                        blocks.append([b.line_no for b in bs])
+                        blocks.append([b.lines for b in bs])
                         feats.append(features(bs, site, is_page))
                 if not rows:
                     continue
-                flat = _flat(feats)
-                got = model.value.decode(*flat) == 1
-                which = np.repeat(np.array(rows, np.int64), flat[2])[got]
-                no = np.fromiter((x for b in blocks for x in b), np.int64)[got]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(which)), pa.array(no)], ["record_id", "line_no"])
+                got = iter(model.value.decode(*_flat(feats)).tolist())
+                which, no = [], []
+                for i, own in zip(rows, blocks, strict=True):
+                    gone, kept = set(), set()
+                    for lines in own:
+                        (gone if next(got) else kept).update(lines)
+                    gone = sorted(gone - kept)
+                    which += [i] * len(gone)
+                    no += gone
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(which, pa.int64())), pa.array(no, pa.int64())], ["record_id", "line_no"])
 
     return df.select(F.col(key).cast("long").alias("record_id"), text, more).mapInArrow(run, "record_id long, line_no long")
 

@@ -46,7 +46,7 @@ LABELS = {
 
 _WORDS = re.compile(r"[^\W\d_]+")
 _LINK = re.compile(r"\]\([^)\s]*\)")
-_NAMES = re.compile(r"^\s*[-*•]\s|^\s*#")
+_ITEM = re.compile(r"\s*[-*•]\s")
 
 
 def label_language(label: Column) -> Column:
@@ -104,21 +104,33 @@ class Classifier:
         self.codes = np.array([sorted(set(model.langs)).index(x) for x in model.langs], np.int64)
         self.names = sorted(set(model.langs))
         self.at: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(model.langs) + 1), np.float32)  # shares in the cosines, squared length
+        self.rows = np.zeros((1024, len(model.langs) + 2), np.float32)  # shares in the products, squared length, length
+        self.letters = 0
+
+    def _vector(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams of a word, and their TF-IDF weights."""
+        g, n = np.unique(np.array(grams(word), np.int64), return_counts=True)
+        return g, n * self.model.idf[g]
 
     def _learn(self, new: set[str]) -> None:
         for w in new:
             i = self.at[w] = len(self.at)
+            self.letters += len(w)
             if i == len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            g = np.array(grams(w[:64]), np.int64)
-            self.rows[i, :-1] = self.model.table[g].sum(0)
-            self.rows[i, -1] = (self.model.idf[g] ** 2).sum()
+            g, x = self._vector(w)
+            self.rows[i, :-2] = (x / self.model.idf[g]) @ self.model.table[g]  # the table has the weights of the idf
+            square = float((x * x).sum())
+            self.rows[i, -2:] = square, np.sqrt(square)
+
+    def _length(self, words: list[str]) -> float:
+        g, x = (np.concatenate(c) for c in zip(*map(self._vector, words), strict=True))
+        return float(np.sqrt((np.bincount(np.unique(g, return_inverse=True)[1], x) ** 2).sum()))
 
     def classify(self, lines: list[str]) -> list[tuple[str | None, float]]:
         """(language, confidence) of every line."""
-        if len(self.at) > 400_000:
-            self.at = {}
+        if len(self.at) > 400_000 or self.letters > 20_000_000:
+            self.at, self.letters = {}, 0
         words = [_WORDS.findall((_LINK.sub("]", s) if "](" in s else s).lower()) for s in lines]
         self._learn(set(chain.from_iterable(words)).difference(self.at))
         lens = np.array([len(ws) for ws in words], np.int64)
@@ -128,21 +140,27 @@ class Classifier:
         if len(ids):
             starts = (np.cumsum(lens) - lens)[some]
             sums[some] = np.add.reduceat(self.rows[ids], starts, axis=0)
-        cosine = sums[:, :-1] / np.sqrt(np.maximum(sums[:, -1:], 1e-9))
-        # repeated n-grams make a text's vector longer than its words' lengths alone say
         best = np.full((len(lines), max(len(self.names), 1)), -1.0)
         for c in range(len(self.names)):
-            best[:, c] = cosine[:, self.codes == c].max(1)
+            best[:, c] = sums[:, :-2][:, self.codes == c].max(1)
+        long = best.max(1)
+        least, most = np.sqrt(np.maximum(sums[:, -2], 1e-18)), np.maximum(sums[:, -1], 1e-9)
+        near = long >= REJECT * most
+        for i in np.flatnonzero(~near & (long >= REJECT * least) & (lens >= MIN_WORDS)):
+            near[i] = long[i] >= REJECT * self._length(words[i])
         order = np.argsort(-best, axis=1)
         top = best[np.arange(len(lines)), order[:, 0]]
         second = best[np.arange(len(lines)), order[:, min(1, best.shape[1] - 1)]]
-        ok = (lens >= MIN_WORDS) & (top >= REJECT) & (len(self.names) > 0)
+        ok = (lens >= MIN_WORDS) & near & (len(self.names) > 0)
         return [(self.names[order[i, 0]], float(round((top[i] - second[i]) / max(top[i], 1e-9), 4))) if ok[i] else (None, 0.0) for i in range(len(lines))]
 
 
-def counted_lines(text: str) -> list[str]:
-    """The lines of a text that may have a language of their own."""
-    return [s for s in text.split("\n") if s.strip() and not _NAMES.match(s)]
+def counts(line: str) -> bool:
+    """Whether a line may have a language of its own: it is no heading, and if it is a list item, a sentence."""
+    s = line.strip()
+    if not s or s[0] == "#":
+        return False
+    return _ITEM.match(line) is None or s.rstrip("\"'”»«)]*_").endswith((".", "!", "?", "…"))
 
 
 def segments(df: DataFrame, key: str, text: str, label: str, model: Model, own_lines: Callable[[list[str], list], list[list[str]]] | None = None, more: str | None = None) -> DataFrame:
@@ -158,7 +176,7 @@ def segments(df: DataFrame, key: str, text: str, label: str, model: Model, own_l
                 b = whole.slice(lo, 1000)
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 lines = own_lines(texts, b.column(3).to_pylist()) if own_lines else [t.split("\n") for t in texts]
-                lines = [[s for s in ls if s.strip() and not _NAMES.match(s)] for ls in lines]
+                lines = [[s for s in ls if counts(s)] for ls in lines]
                 found = iter(classifier.classify([s for ls in lines for s in ls]))
                 out: list[list] = [[] for _ in range(6)]
                 for i, ls in enumerate(lines):

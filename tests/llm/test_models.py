@@ -144,3 +144,43 @@ def test_queries_run_on_empty_tables(spark, data, tmp_path, name):
     for t in ("language_samples", "mix_targets", "subjects"):
         table(spark, data, t).write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_leaf_blocks_of_one_line():
+    page = '<body><nav><a href="/">Home</a></nav><div><h1>Title</h1><p>Body text <b>one</b>.</p></div><footer>Foot</footer></body>'
+    blocks, _ = maintext.page_blocks(page)
+    assert [(b.tag, b.text, b.lines) for b in blocks] == [("nav", "Home", [0]), ("h1", "Title", [0]), ("p", "Body text one.", [0]), ("footer", "Foot", [0])]
+    blocks, _ = maintext.page_blocks("<body><div><p>A text that\ngoes over\nthree lines.</p></div><pre>a\nb</pre></body>")
+    assert [(" ".join(b.text.split()), b.lines) for b in blocks] == [("A text that goes over three lines.", [0, 1, 2]), ("a", [2]), ("b", [3])]
+
+
+def test_long_lines_have_their_features():
+    short, long = (maintext.body_blocks("Subscribe to the letters of the Site, " + "word and more " * n + "today")[0] for n in (2, 300))
+    of_short, of_long = (set(maintext.features([b], "Site", False)[0]) for b in (short, long))
+    assert {maintext._code(f) for f in ("w subscribe", "w ownsite", "last today", "end open", "mark letter")} <= of_short & of_long
+    assert maintext.weak_label(long, "Site", False) == maintext.weak_label(short, "Site", False) == 1
+    assert maintext.features([maintext.body_blocks("[" * 200_000 + "x")[0]], "", False)
+
+
+def test_training_takes_long_documents(spark):
+    rows = [(1, "\n".join("Line %d of a long text. It goes on." % i for i in range(20_000)), "S"), (2, "a b\nLong text here. It ends.", "S"), (3, "z" * 2000, "S")]
+    m = maintext.fit(spark.createDataFrame(rows, "id long, body string, site string"), None, train_chars=1_000_000)
+    assert np.isfinite(m.weights).all() and np.abs(m.trans).sum() > 0
+
+
+def test_language_by_true_cosine():
+    m = language.fit([("aa", "alpha beta gamma delta"), ("bb", "uno dos tres cuatro"), ("aa", "alpha gamma"), ("bb", "dos cuatro")], k=1)
+    c = language.Classifier(m)
+    for text in ("alpha beta beta beta gamma", "uno dos tres cuatro cinco"):
+        words = text.split()
+        v = np.zeros(language.DIM)
+        for w in words:
+            np.add.at(v, language.grams(w), 1)
+        assert abs(c._length(words) - np.linalg.norm(v * m.idf)) < 1e-3
+    once, often = c.classify(["alpha beta gamma delta", "alpha beta gamma delta " * 6])
+    assert once[0] == often[0] == "aa" and c.classify(["это русский текст тут"]) == [(None, 0.0)]
+    assert c.classify(["alpha" * 50_000 + " beta gamma delta"])[0][0] == "aa"
+
+
+def test_list_items_count_by_content():
+    assert [language.counts(s) for s in ("- A sentence of a list.", "- Paris: 30", "* Ann Bell", "# Heading", "", "Plain text")] == [True, False, False, False, False, True]

@@ -1,23 +1,25 @@
 """Template residue, filler and error-page text in place of content (problem 6).
 
-Three detectors, all in JVM expressions:
+Three detectors, all in JVM expressions, over whole titles and bodies of any length:
 
-* **Message templates.** Titles and bodies of at most ``MAX_TOKENS`` words (bodies of at most ``MAX_LINES``
-  lines) are messages. Their variable parts (numbers, addresses and paths, hexadecimal ids, the site's
-  name) are masked; a prefix tree of fixed depth (number of words, then the first three) sorts them
-  into leaves; a leaf's template keeps the word that most of its messages have at a place, and a
-  wildcard elsewhere. A message that agrees with its leaf's template in fewer than half of the
+* **Message templates.** Titles and bodies are messages. Their variable parts (numbers, addresses and paths,
+  hexadecimal ids, the site's name) are masked; a prefix tree of fixed depth (number of words, then the
+  first three) sorts them into leaves; a leaf's template keeps the word that most of its messages have at
+  a place, and a wildcard elsewhere. A message that agrees with its leaf's template in fewer than half of the
   places is a template of its own. Each template is classified once, by the notices, access checks
-  and stand-in titles of ``CUES``, and the verdict goes back to its messages.
+  and stand-in titles of ``CUES``, and the verdict goes back to its messages. Of the bodies, only leaves
+  with a body that holds a cue can have such a template; the others are not mined.
 * **Unresolved slots** inside ordinary records: the placeholder syntaxes of the usual template
   languages. What stands between back quotes is quoted code and does not count; link targets
   are taken out first.
-* **Filler**: a line of at least five words, most of them of the well-known pseudo-Latin, in a text that has
-  one of its unmistakable words.
-
-A title or body that tells about such things has other words around them, and is no case. Null,
-empty and blank fields are no cases. Repeated rows come out repeatedly; extra columns are ignored.
-Very long texts: the patterns are bounded, and no text is gathered. Leaves are counted by partial
+* **Filler**: a line of at least five words, most of them of the well-known pseudo-Latin; a title of at least two,
+  if all are.
+
+A body is a notice if at least a third of its letters are in sentences or lines with a cue, and it names what it
+is about (an address, an id, a number) or is little else; a title must be little else. A text that tells about such
+things has other words around them, and is no case. Null, empty and blank fields are no cases. Repeated rows come
+out repeatedly; extra columns are ignored. Patterns take linear time on texts of any length. Texts are read
+once; what is shuffled is a row for each field, and the words of the messages. Leaves are counted by partial
 aggregates of (leaf, place, word), so a leaf with a third of all titles is no hot task.
 """
 
@@ -25,11 +27,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-MAX_LINES, MAX_TOKENS = 3, 60
+from fernglass.session import written
 
 # Phrases of notices, access checks and stand-in titles, by language.
 CUES = {
-    "en": r"(?:this |the |that |requested )*(?:page|file|url|document|address)?,? ?(?:was |could |be |is |can )*not (?:be )?found|error(?: has)?(?: occurred)?|an error(?: has)? occurred|"
+    "en": r"(?:this |the |that |requested ){0,3}(?:page|file|url|document|address)?,? ?(?:was |could |be |is |can ){0,3}not (?:be )?found|error(?: has)?(?: occurred)?|an error(?: has)? occurred|"
     r"internal server error|bad gateway|gateway time-?out|service (?:temporarily )?unavailable|did not respond in time|forbidden|unauthori[sz]ed|access (?:is )?denied|"
     r"you don'?t have permission to (?:access|view)|just a moment|please wait|one moment(?: please)?|(?:are|confirm that) you(?: are)?(?: not)? (?:a )?(?:robot|human)|not a robot|checking your browser(?: before accessing)?|"
     r"(?:please )?(?:enable|turn on|activate|allow) (?:javascript|scripts|cookies)|javascript (?:is )?(?:required|disabled)|needs scripts to run|attention required|security check|captcha|"
@@ -46,24 +48,34 @@ CUES = {
 }
 _CUE = r"(?iU)(?<![\p{L}\p{N}])(?:" + "|".join(CUES.values()) + r")(?![\p{L}\p{N}])"
 
+# Words of which every cue has one. They spare the other texts the longer pattern.
+CUE_WORDS = (
+    "found error errors occurred gateway unavailable respond forbidden unauthorised unauthorized denied permission moment wait robot human browser javascript scripts cookies "
+    "attention check captcha wrong again looked moved exception trace traceback requests construction untitled post page document draft sample headline copy title "
+    "gefunden fehler serverfehler verweigert verboten berechtigung schiefgelaufen aktivieren warten roboter mensch titel beitrag verfügbar "
+    "trouvée introuvable erreur survenue refusé interdit accès activer instant titre article indisponible "
+    "encontrada encontrado encontramos acceso denegado prohibido permiso momento título entrada salido disponible erro acesso negado proibido permissão robô indisponível "
+    "gevonden bestaat fout serverfout geweigerd bekijken ogenblik bericht misgegaan"
+)
+
 # Placeholder syntaxes.
 SLOTS = (
-    r"\$\{[^}\n]{1,60}\}",
-    r"\{\{[^}\n]{1,60}\}\}",
-    r"\{%[^%\n]{1,60}%\}",
-    r"<%[^%\n]{1,80}%>",
-    r"#\{[^}\n]{1,60}\}",
-    r"\{[A-Za-z_]\w*(?:\.\w+)*\}|\{\d{1,2}\}",
-    r"\[\[\s*[A-Za-z_][\w. ]{0,40}\]\](?!\()",
+    r"\$\{[^{}\n]+\}",
+    r"\{\{[^{}\n]+\}\}",
+    r"\{%[^%\n]+%\}",
+    r"<%[^%\n]+%>",
+    r"#\{[^{}\n]+\}",
+    r"\{[A-Za-z_][\w.]*\}|\{\d{1,2}\}",
+    r"\[\[\s*[A-Za-z_][\w. ]*\]\](?!\()",
     r"(?<!\w)__[A-Z][A-Z_]*[A-Z]__(?!\w)",
     r"%%[A-Za-z][\w.]*%%",
     r"@@[A-Za-z][\w.]*@@",
-    r"(?<!\w)%[A-Z]+(?:_[A-Z]+)+%(?!\w)",
-    r"\[(?:INSERT|ENTER|ADD|YOUR)\s[^\]\n]{1,40}\]",
-    r"\[(?:insert|enter|add|your)\s[^\]\n]{1,40}\]?\s?\[?here\]",
+    r"(?<!\w)%[A-Z]+_[A-Z_]*[A-Z]%(?!\w)",
+    r"\[(?:INSERT|ENTER|ADD|YOUR)\s[^\[\]\n]+\]",
+    r"\[(?:insert|enter|add|your)\s[^\[\]\n]+\]?\s?\[?here\]",
 )
 # Whole titles that are a variable's name or an empty value.
-EMPTY_TITLES = r"^\s*(?:[A-Z]+(?:_[A-Z]+)+|(?:null|undefined|NaN|None|\[object Object\])(?:\s*[|\-–—:·]\s.*)?)\s*$"
+EMPTY_TITLES = r"^\s*(?:[A-Z]+_[A-Z_]*[A-Z]|(?:null|undefined|NaN|None|\[object Object\])(?:\s*[|\-–—:·]\s.*)?)\s*$"
 
 # The pseudo-Latin of filler text.
 FILLER_WORDS = (
@@ -72,20 +84,49 @@ FILLER_WORDS = (
     "cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum sed sit minim"
 )
 
-_RESOURCE = r"(?:https?://|/|[\w-]+(?:\.[\w-]+)+/)\S*[\w/]|[\w-]+(?:\.[\w-]+)*\.[a-z]{2,8}(?=[\s.,]|$)"
+# No group is repeated without bound: that would take a stack as deep as the text is long.
+_RESOURCE = r"(?:https?://|/|(?<![\w.-])[\w-]+\.[\w.-]*[\w-]/)\S*[\w/]|(?<![\w.-])[\w-][\w.-]*\.[a-z]{2,8}(?=[\s.,]|$)"
 _HEX = r"(?<![\w])#?[0-9a-f]{8,}(?![\w])"
 
 
+def _trie(words: list[str]) -> str:
+    """A pattern that matches exactly these words, by one walk through their common prefixes."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            by.setdefault(w[0], []).append(w[1:])
+    alts = [c + _trie(rest) for c, rest in sorted(by.items())]
+    if not alts:
+        return ""
+    return ("(?:" + "|".join(alts) + ")" if len(alts) > 1 or "" in words else alts[0]) + ("?" if "" in words else "")
+
+
+_HAS_CUE_WORD = r"(?<![\p{L}\p{N}])" + _trie(sorted(set(CUE_WORDS.split()))) + r"(?![\p{L}\p{N}])"
+
+
+def has_cue(text: Column) -> Column:
+    return F.when(F.lower(text).rlike(_HAS_CUE_WORD), text.rlike(_CUE)).otherwise(False)
+
+
+def _with_site(text: Column, site: Column | None) -> Column:
+    return text if site is None else F.when(F.coalesce(site, F.lit("")) != "", F.replace(text, site, F.lit("<SITE>"))).otherwise(text)
+
+
 def masked(text: Column, site: Column | None = None) -> Column:
-    """The message with its variable parts as <SITE>, <RES>, <HEX> and <NUM>."""
-    t = text
-    if site is not None:
-        t = F.when(F.coalesce(site, F.lit("")) != "", F.replace(t, site, F.lit("<SITE>"))).otherwise(t)
+    """The message with its variable parts as <SITE>, <RES>, <HEX> and <NUM>, and <NL> between its lines."""
+    t = F.regexp_replace(F.trim(_with_site(text, site)), r"\n\s*", " <NL> ")
     t = F.regexp_replace(t, _RESOURCE, "<RES>")
     t = F.regexp_replace(t, _HEX, "<HEX>")
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"\d+", "<NUM>"), r"(?U)\s+", " "))
 
 
+def rough_leaf(text: Column, site: Column | None = None, depth: int = 3) -> Column:
+    """Equal for messages of one leaf: the number of words and the masked first ones, without masking the whole text."""
+    words = F.split(F.trim(_with_site(text, site)), r"\s+")
+    first = masked(F.concat_ws(" ", F.slice(words, 1, depth)))
+    return F.xxhash64(F.size(words), F.array_join(F.slice(F.split(first, " "), 1, depth), " "))
+
+
 def mine_templates(messages: DataFrame, depth: int = 3, constant: float = 0.6, agree: float = 0.5) -> DataFrame:
     """(key, template): the template of every distinct masked text ``key``; ``messages`` has a column ``key``."""
     distinct = messages.groupBy("key").agg(F.count("*").alias("n")).withColumn("words", F.split("key", " "))
@@ -94,20 +135,26 @@ def mine_templates(messages: DataFrame, depth: int = 3, constant: float = 0.6, a
     places = distinct.select("leaf", "n", F.posexplode("words").alias("place", "word")).groupBy("leaf", "place", "word").agg(F.sum("n").alias("n"))
     most = places.groupBy("leaf", "place").agg(F.max_by("word", F.struct("n", "word")).alias("word"), F.max("n").alias("top"), F.sum("n").alias("all"))
     kept = F.when(F.col("top") >= constant * F.col("all"), F.col("word")).otherwise("<*>")
-    trees = most.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", kept.alias("word")))).alias("tree"))  # at most MAX_TOKENS entries
+    trees = most.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", kept.alias("word")))).alias("tree"))  # the words of one message
     trees = trees.select("leaf", F.transform("tree", lambda x: x["word"]).alias("tree"))
     same = F.size(F.filter(F.zip_with("words", "tree", lambda a, b: a == b), lambda x: x))
     return distinct.join(trees, "leaf").select("key", F.when(same >= agree * F.size("words"), F.concat_ws(" ", "tree")).otherwise(F.col("key")).alias("template"))
 
 
 def classify(template: Column, field: Column) -> Column:
-    """Whether a template is a notice or stand-in. A title must be little else; a short body must hold one and name
-    what it is about (an address, an id, a number), or be little else."""
-    bare = F.regexp_replace(template, r"<(?:SITE|RES|HEX|NUM|\*)>", "")
-    letters = F.length(F.regexp_replace(bare, r"[^\p{L}]", ""))
-    rest = F.length(F.regexp_replace(F.regexp_replace(bare, _CUE, ""), r"[^\p{L}]", ""))
+    """Whether a template is a notice or stand-in. A title must be little else; in a body a third of the letters must be
+    in sentences with a cue, and it must name what it is about (an address, an id, a number) or be little else."""
+
+    def letters(t: Column) -> Column:
+        return F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
+
+    bare = F.regexp_replace(template, r"<(?:SITE|RES|HEX|NUM|NL|\*)>", "")
+    rest = letters(F.regexp_replace(bare, _CUE, ""))
+    cued = F.filter(F.split(template, r"(?<=[.!?…])\s+| <NL> "), lambda x: F.regexp_replace(x, r"<(?:SITE|RES|HEX|NUM|\*)>", "").rlike(_CUE))
+    share = letters(F.regexp_replace(F.array_join(cued, " "), r"<(?:SITE|RES|HEX|NUM|NL|\*)>", ""))
     hit = bare.rlike(_CUE)
-    return F.when(field == "title", hit & (rest <= 0.25 * letters)).otherwise(hit & (template.rlike("<(?:RES|HEX|NUM)>") | (rest <= 0.5 * letters)))
+    in_body = (share >= letters(bare) / 3) & (template.rlike("<(?:RES|HEX|NUM)>") | (rest <= 0.5 * letters(bare)))
+    return F.when(field == "title", hit & (rest <= 0.25 * letters(bare))).otherwise(hit & in_body)
 
 
 #: Every slot holds one of these; most texts hold none, and are spared the patterns.
@@ -126,25 +173,23 @@ def _any_of(text: Column, parts: tuple[str, ...]) -> Column:
 
 
 def _has_slot(text: Column) -> Column:
-    prose = F.regexp_replace(F.regexp_replace(text, r"`[^`\n]*`", " "), r"\]\(https?://[^)\s]*\)", "")
-    return prose.rlike("|".join(SLOTS)) | text.rlike(r"\[\[[A-Z ]{3,40}\]\]\(http")
+    prose = F.regexp_replace(F.regexp_replace(text, r"`[^`\n]*`", " "), r"\]\(https?://[^()\s]*\)", "")
+    return prose.rlike("|".join(SLOTS)) | text.rlike(r"\[\[[A-Z ]{3,}\]\]\(http")
 
 
-#: The unmistakable words of the list, by their parts: a body of filler holds one, in either case. Few others do.
-_FILLER_PARTS = tuple(
-    y for x in "adipi aliqu aute cillum consect cupid deseru eiusm exercit fugia incidi ipsum irure laboris mollit nostru occaec pariat proid reprehen ullamc veniam".split() for y in (x, x.upper())
-)
+_FILLER = r"(?<!\w)" + _trie(sorted(set(FILLER_WORDS.split()))) + r"(?!\w)"
 
 
-def has_filler(text: Column) -> Column:
-    words = r"(?i)\b(?:" + "|".join(sorted(set(FILLER_WORDS.split()))) + r")\b"
+def has_filler(text: Column, whole: Column | None = None) -> Column:
+    """Whether a line is filler; where ``whole`` holds, two words are enough if there are no others."""
 
     def filler(line: Column) -> Column:
-        n = F.regexp_count(line, F.lit(r"(?U)\w+"))
-        return (n >= 5) & (F.regexp_count(line, F.lit(words)) >= 0.6 * n)
+        n, known = F.regexp_count(line, F.lit(r"(?U)\w+")), F.regexp_count(F.lower(line), F.lit(_FILLER))
+        out = (n >= 5) & (known >= 0.6 * n)
+        return out if whole is None else out | (whole & (n >= 2) & (known == n))
 
-    # most texts hold none of these parts: the lines of the others only are looked at
-    return F.when(_any_of(text, _FILLER_PARTS), F.exists(F.split(text, "\n"), filler)).otherwise(False)
+    # a line of filler has three words of it (a title two): the lines of other texts are not looked at
+    return F.when(F.regexp_count(F.lower(text), F.lit(_FILLER)) >= 2, F.exists(F.split(text, "\n"), filler)).otherwise(False)
 
 
 def residue(docs: DataFrame, doc_id: str, title: str, body: str, site: str | None = None) -> DataFrame:
@@ -154,17 +199,26 @@ def residue(docs: DataFrame, doc_id: str, title: str, body: str, site: str | Non
     fields = src.select("doc_id", "site", F.explode(F.array(F.struct(F.lit("title").alias("field"), F.col("t").alias("text")), F.struct(F.lit("body").alias("field"), F.col("b").alias("text")))).alias("f"))
     fields = fields.select("doc_id", "site", "f.field", "f.text").where(F.trim("text") != "")
     is_title = F.col("field") == "title"
-    short = (F.length("text") <= 12 * MAX_TOKENS) & (is_title | (F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")) <= MAX_LINES))
+    cue = is_title | has_cue(F.col("text"))
     marked = fields.select(
         "doc_id",
         "field",
         (has_slot(F.col("text")) | (is_title & F.col("text").rlike(EMPTY_TITLES))).alias("slot"),
-        has_filler(F.col("text")).alias("filler"),
-        F.when(short, masked(F.col("text"), F.col("site"))).alias("key"),
-    ).withColumn("key", F.when(F.size(F.split("key", " ")) <= MAX_TOKENS, F.col("key")))
-    notices = mine_templates(marked.where("key is not null").select("key"))
+        has_filler(F.col("text"), is_title).alias("filler"),
+        F.when(~is_title, rough_leaf(F.col("text"), F.col("site"))).alias("leaf"),
+        F.when(cue, masked(F.col("text"), F.col("site"))).alias("key"),
+    )
+    marked = written(marked)  # the texts are read once
+    # bodies without a cue in the leaf of one that has it
+    bodies = marked.where("field = 'body'")
+    leaves = bodies.where("key is not null").select("leaf").distinct()
+    mates = written(bodies.where("key is null").join(leaves, "leaf", "left_semi").select("doc_id").distinct())
+    theirs = src.join(mates, "doc_id", "left_semi").select("doc_id", F.lit("body").alias("field"), masked(F.col("b"), F.col("site")).alias("theirs")).distinct()
+    messages = marked.where("key is not null").select("key").unionByName(theirs.select(F.col("theirs").alias("key")))
+    notices = mine_templates(messages)
     # a template's verdict depends on the field as well; both are worked out once a template
     verdicts = notices.groupBy("template").agg(F.count("*").alias("n")).select("template", classify(F.col("template"), F.lit("title")).alias("as_title"), classify(F.col("template"), F.lit("body")).alias("as_body")).where("as_title or as_body")
     verdicts = notices.join(verdicts, "template").select("key", "template", "as_title", "as_body")
+    marked = marked.join(theirs, ["doc_id", "field"], "left").withColumn("key", F.coalesce("key", "theirs"))
     out = marked.join(verdicts, "key", "left").withColumn("notice", F.coalesce(F.when(is_title, F.col("as_title")).otherwise(F.col("as_body")), F.lit(False)))
     return out.where("slot or filler or notice").select("doc_id", "field", "slot", "filler", "notice", "template")

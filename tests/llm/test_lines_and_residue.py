@@ -94,3 +94,15 @@ def test_templates(spark):
 @pytest.mark.parametrize("text,want", [("/a/b1 on x.example/c", "<RES> on <RES>"), ("Ticket 7b87c9d3 12", "Ticket <HEX> <NUM>"), ("Hello Site One", "Hello <SITE>")])
 def test_masks(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(residue.masked(F.col("t"), F.lit("Site One"))).collect()[0][0] == want
+
+
+def test_residue_of_any_length(spark):
+    notice = "Access denied. " + " ".join(f"You don't have permission to access /a/{i} on this server." for i in range(12)) + "\n\nPlease wait.\n\nOne moment please.\n\nReference 77"
+    prose = "The council met on the long day in the old town hall and said so at length. " * 40 + "One of them had read that an error occurred on page 7 of the report. " + "Nobody asked about it. " * 40
+    slot = "Dear {{ " + "customer.first_name | default('x') | " * 5 + "upper }}, welcome."
+    rows = [
+        (1, "S", notice, "A title", 0, ""), (2, "S", prose, "Lorem ipsum", 0, ""), (3, "S", slot, "Lorem Ipsum Dolor Sit Amet Consectetur Adipiscing Elit", 0, ""),
+        (4, "S", "A text.\nSed magna dolor sit amet elit enim sint", "The Lorem ipsum of Ann", 0, ""), (5, "S", "[[" * 50_000 + "the " * 50_000, "x" * 200_000 + ".a" * 50_000, 0, ""),
+    ]
+    got = {(r.doc_id, r.field) for r in residue.residue(articles(spark, rows), "id", "title", "body", "site").collect()}
+    assert got == {(1, "body"), (2, "title"), (3, "title"), (3, "body"), (4, "body")}

@@ -25,19 +25,20 @@ def _articles_by_site(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines that at least 8 articles of one site hold, each at every place."""
-    return sitelines.repeated_lines(_articles_by_site(spark, sf_dir), "extraction_id", "site_name", "body", "created_at").select(F.col("doc_id").alias("extraction_id"), F.col("line_no").cast("long").alias("line_no"))
+    places = sitelines.repeated_places(_articles_by_site(spark, sf_dir), "extraction_id", "site_name", "body", "created_at", min_clusters=1)
+    return places.select(F.col("doc_id").alias("extraction_id"), F.col("line_no").cast("long").alias("line_no"))
 
 
 @query
 def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every article without the lines that its site repeats."""
+    """Every article without the lines that its site repeats in several texts."""
     return sitelines.without_repeated_lines(_articles_by_site(spark, sf_dir), "extraction_id", "site_name", "body", "created_at").select(F.col("doc_id").alias("extraction_id"), "n_removed", F.length("body").alias("chars_left"))
 
 
 @query
 def p7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By site: how many distinct lines are repeated, how many places they take, and their largest counts."""
-    found = sitelines.repeated_lines(_articles_by_site(spark, sf_dir), "extraction_id", "site_name", "body", "created_at")
+    """By site: how many places and documents have lines that are repeated in several texts, and their largest counts."""
+    found = sitelines.repeated_places(_articles_by_site(spark, sf_dir), "extraction_id", "site_name", "body", "created_at")
     return found.groupBy("site").agg(F.count("*").alias("places"), F.count_distinct("doc_id").alias("docs"), F.max("n_docs").alias("most_docs"), F.max("n_clusters").alias("most_clusters"), F.max("n_days").alias("most_days"))
 
 
@@ -180,17 +181,21 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LINES = r"""
-with s as (select extraction_id, site_name, cast(created_at as date) as day, body, unnest(string_split(body, chr(10))) as line,
+with s as (select extraction_id, site_name, cast(created_at as date) as day, unnest(string_split(body, chr(10))) as line,
                   generate_subscripts(string_split(body, chr(10)), 1) - 1 as line_no
            from articles where site_name <> '' and body is not null),
 l as (select *, trim(regexp_replace(lower(line), '[\s\x{a0}\x{85}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]+', ' ', 'g')) as k from s),
-n as (select site_name, k, count(distinct extraction_id) as n_docs, count(distinct body) as n_clusters from l where k <> '' group by all),
-f as (select l.*, n.n_docs, n.n_clusters from l join n using (site_name, k) where n.n_docs >= 8)
+c as (select extraction_id, site_name, min(day) as day, string_agg(k, chr(10) order by line_no) as cluster from l where k <> '' group by 1, 2),
+d as (select site_name, cluster, min(day) as day from c group by 1, 2),
+n as (select l.site_name, l.k, count(distinct l.extraction_id) as n_docs, count(distinct c.cluster) as n_clusters, count(distinct d.day) as n_days
+      from l join c using (extraction_id, site_name) join d on d.site_name = c.site_name and d.cluster = c.cluster where l.k <> '' group by 1, 2),
+f as (select l.*, n.n_docs, n.n_clusters, n.n_days from l join n using (site_name, k) where n.n_docs >= 8)
 """
 SQL["p7_found"] = _LINES + "select extraction_id, cast(line_no as bigint) as line_no from f"
+SQL["p7_lines"] = _LINES + "select site_name as site, count(*) as places, count(distinct extraction_id) as docs, max(n_docs) as most_docs, max(n_clusters) as most_clusters, max(n_days) as most_days from f where n_clusters >= 2 group by 1"
 SQL["p7_clean"] = (
     _LINES
     + """select a.extraction_id, cast(coalesce(d.n, 0) as integer) as n_removed, cast(coalesce(length(a.body), 0)
     - coalesce(d.chars, 0) - least(coalesce(d.n, 0), greatest(len(string_split(a.body, chr(10))) - 1, 0)) as integer) as chars_left
-    from articles a left join (select extraction_id, count(*) as n, sum(length(line)) as chars from f group by 1) d using (extraction_id)"""
+    from articles a left join (select extraction_id, count(*) as n, sum(length(line)) as chars from f where n_clusters >= 2 group by 1) d using (extraction_id)"""
 )

@@ -34,17 +34,20 @@ def test_repeated_lines_against_brute_force(spark):
     rows = [(i, rnd.choice(["a", "a", "a", "b", "", None]), "\n".join(rnd.choice(["Share this", "share  THIS ", "x y", "x y", "", " ", "line %d" % rnd.randint(0, 40)]) for _ in range(rnd.randint(0, 7))), None, 0, "clash") for i in range(60)]
     rows += [(100, "a", None, None, None, None), (101, "a", "", None, None, None), rows[0], rows[0]]
     df = articles(spark, rows)
-    got = sorted((r.doc_id, r.line_no) for r in sitelines.repeated_lines(df, "id", "site", "body", min_docs=8).collect())
+    got = sorted((r.doc_id, r.line_no) for r in sitelines.repeated_lines(df, "id", "site", "body", min_docs=8, min_clusters=1).collect())
     assert got == brute_lines(rows, 8) and got
 
 
 def test_copies_collapse(spark):
     rows = [(i, "a", "Long story\nFooter", None, 0, "") for i in range(10)] + [(50, "a", "Other\nFooter", None, 0, "")]
-    counts = sitelines.repeated_lines(articles(spark, rows), "id", "site", "body", min_docs=8)
+    counts = sitelines.repeated_lines(articles(spark, rows), "id", "site", "body", min_docs=8, min_clusters=1)
     assert {(r.line, r.n_docs, r.n_clusters) for r in counts.collect()} == {("Long story", 10, 1), ("Footer", 11, 2)}
     only = sitelines.repeated_lines(articles(spark, rows), "id", "site", "body", min_docs=8, min_clusters=2)
     assert {r.line for r in only.collect()} == {"Footer"}
-    clean = {r.doc_id: (r.n_removed, r.body) for r in sitelines.without_repeated_lines(articles(spark, rows), "id", "site", "body", min_docs=8, min_clusters=2).collect()}
+    # at the defaults a republished article keeps its lines, also if its copies differ in white space and case
+    rows += [(60 + i, "b", "A story  told\n\nagain" if i % 2 else "a story TOLD\nAgain ", None, 0, "") for i in range(20)]
+    clean = {r.doc_id: (r.n_removed, r.body) for r in sitelines.without_repeated_lines(articles(spark, rows), "id", "site", "body").collect()}
+    assert clean[61] == (0, "A story  told\n\nagain")
     assert clean[3] == (1, "Long story") and clean[50] == (1, "Other")
     assert sitelines.repeated_lines(articles(spark, rows).limit(0), "id", "site", "body").collect() == []
 

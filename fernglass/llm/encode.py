@@ -60,21 +60,24 @@ def chunks(text: str) -> list[str]:
 
 
 def _count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
+    seen: Counter = Counter()  # chunks that a space stands before
+    firsts: Counter = Counter()  # chunks that a text begins with
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["chunk", "n"])
+        cols = [*seen, *firsts], [False] * len(seen) + [True] * len(firsts), [*seen.values(), *firsts.values()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.bool_(), pa.int64()), strict=True)], ["chunk", "first", "n"])
 
     for b in batches:
         for t in b.column(0).to_pylist():
             if t:
                 first, *rest = chunks(t)
                 seen.update(rest)
-                seen["\x00" + first] += 1
-        if len(seen) > 200_000:
+                firsts[first] += 1
+        if len(seen) + len(firsts) > 200_000:
             yield out()
-            seen = Counter()
-    if seen:
+            seen.clear()
+            firsts.clear()
+    if seen or firsts:
         yield out()
 
 
@@ -84,15 +87,17 @@ def _count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     cut = regex.compile(PATTERN).findall
     for b in batches:
         seen: Counter = Counter()
-        for c, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            for p in cut(c[1:] if c[0:1] == "\x00" else " " + c):
+        for c, first, n in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            for p in cut(c if first else " " + c):
                 seen[p.encode("utf-8", "surrogatepass")] += n
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
 
 
 def build_lexicon(texts: DataFrame, text: str, ranks: dict[bytes, int], lexicon_size: int = LEXICON_SIZE) -> str:
-    """Count the words of all texts, compile the most frequent, hand the file to the executors; returns its name."""
-    counted = texts.select(F.col(text).alias("text")).mapInArrow(_count_chunks, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    """Count the words of all texts, compile the most frequent, hand the file to the executors; returns its name.
+
+    The driver's file server hands it to every executor, also to late ones (as with code); no job reads the driver's folder."""
+    counted = texts.select(F.col(text).alias("text")).mapInArrow(_count_chunks, "chunk string, first boolean, n long").groupBy("chunk", "first").agg(F.sum("n").alias("n"))
     pieces = counted.mapInArrow(_count_pieces, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     top = pieces.where(F.length("piece") <= 64).orderBy(F.desc("n"), "piece").limit(lexicon_size).select("piece").toArrow().column(0).to_pylist()
     name = f"lexicon-{uuid.uuid4().hex}.bin"
@@ -112,6 +117,7 @@ class Encoder:
 
         self.lexicon, self.ranks, self.cut = lexicon, ranks, regex.compile(PATTERN).findall
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.firsts: dict[str, tuple[int, ...]] = {}
 
     @classmethod
     def of(cls, name: str, ranks) -> Encoder:
@@ -121,32 +127,28 @@ class Encoder:
         return cls.made[name]
 
     def learn(self, texts: list[list[str]]) -> None:
-        """Have every chunk of these texts in the cache; a text's first chunk is marked by a NUL."""
-        if len(self.cache) > CACHE_SIZE:
-            self.cache = {}
-        new = [c for c in set(chain.from_iterable(texts)) if c not in self.cache]
-        cut = [self.cut(c[1:] if c[0:1] == "\x00" else " " + c) for c in new]
+        """Have every chunk of these texts in the cache; a text's first chunk has one of its own."""
+        if len(self.cache) + len(self.firsts) > CACHE_SIZE:
+            self.cache, self.firsts = {}, {}
+        new = [(self.cache, c, " " + c) for c in {c for t in texts for c in t[1:]} if c not in self.cache]
+        new += [(self.firsts, c, c) for c in {t[0] for t in texts if t} if c not in self.firsts]
+        cut = [self.cut(c) for _, _, c in new]
         words = list({p.encode("utf-8", "surrogatepass") for ps in cut for p in ps})
         places = self.lexicon.find(words)
         ids = {w: self.lexicon.get(p) if p >= 0 else tuple(merge(w, self.ranks)) for w, p in zip(words, places.tolist(), strict=True)}
-        for c, ps in zip(new, cut, strict=True):
-            self.cache[c] = tuple(chain.from_iterable(ids[p.encode("utf-8", "surrogatepass")] for p in ps))
+        for (into, c, _), ps in zip(new, cut, strict=True):
+            into[c] = tuple(chain.from_iterable(ids[p.encode("utf-8", "surrogatepass")] for p in ps))
 
     def encode(self, texts: list[str | None]) -> tuple[list[int], list[int]]:
         """All ids of the texts in a row, and the number of each text."""
-        cut = []
-        for t in texts:
-            if t:
-                c = chunks(t)
-                c[0] = "\x00" + c[0]
-                cut.append(c)
-            else:
-                cut.append([])
+        cut = [chunks(t) if t else [] for t in texts]
         self.learn(cut)
         get, flat, lens = self.cache.__getitem__, [], []
         for c in cut:
             before = len(flat)
-            flat.extend(chain.from_iterable(map(get, c)))
+            if c:
+                flat.extend(self.firsts[c[0]])
+                flat.extend(chain.from_iterable(map(get, c[1:])))
             lens.append(len(flat) - before)
         return flat, lens
 

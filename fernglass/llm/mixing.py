@@ -27,6 +27,8 @@ source with a third of all rows is many small windows.
 
 from __future__ import annotations
 
+from math import sqrt
+
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -34,6 +36,33 @@ from pyspark.sql import DataFrame, Window, functions as F
 RANGES = 1024
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int, limit: int = 900_000_000) -> int:
+    """How many of ``drawn`` are good. numpy draws from fewer than 10^9 of each kind; from larger urns by inversion."""
+    if drawn == 0 or good == 0:
+        return 0
+    if bad == 0:
+        return drawn
+    if max(good, bad) < limit:
+        return int(rng.hypergeometric(good, bad, drawn))
+    return _by_inversion(rng, good, bad, drawn)
+
+
+def _by_inversion(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
+    """A hypergeometric number by inversion from the mode: the probabilities of the neighbours follow from its own."""
+    mode = min(max((drawn + 1) * (good + 1) // (good + bad + 2), max(0, drawn - bad)), min(good, drawn))
+    u = rng.random()
+    # ratios of neighbours from the mode on; beyond 12 standard deviations nothing is left in double precision
+    spread = sqrt(drawn * (good / (good + bad)) * (bad / (good + bad)) * max(good + bad - drawn, 1) / (good + bad))
+    reach = int(12 * spread) + 20
+    low, high = max(mode - reach, max(0, drawn - bad)), min(mode + reach, min(good, drawn))
+    up = np.arange(mode, high, dtype=np.float64)
+    down = np.arange(mode, low, -1, dtype=np.float64)
+    over = np.concatenate([[0.0], np.cumsum(np.log((good - up) * (drawn - up)) - np.log((up + 1) * (bad - drawn + up + 1)))])
+    under = np.cumsum(np.log(down * (bad - drawn + down)) - np.log((good - down + 1) * (drawn - down + 1)))
+    weight = np.exp(np.concatenate([under[::-1], over]))
+    return low + int(np.searchsorted(np.cumsum(weight), u * weight.sum()))
+
+
 def split_quotas(quotas: dict[str, int], shards: int, seed: int) -> list[dict[str, int]]:
     """Part the block quotas among the shards by a tree of multivariate hypergeometric draws."""
     names = sorted(quotas)
@@ -51,7 +80,7 @@ def split_quotas(quotas: dict[str, int], shards: int, seed: int) -> list[dict[st
         rest, need = total, left  # conditional draws, source by source
         for i, c in enumerate(counts.tolist()):
             rest -= c
-            drawn[i] = need if rest == 0 else int(rng.hypergeometric(c, rest, need)) if need and c else 0
+            drawn[i] = hypergeometric(rng, c, rest, need)
             need -= int(drawn[i])
         part(drawn, lo, mid, 2 * node + 1)
         part(counts - drawn, mid, hi, 2 * node + 2)
@@ -120,16 +149,17 @@ def mix(sized: DataFrame, targets: DataFrame, shards: int = 16, block_tokens: in
 
 
 def shares(mixed: DataFrame, sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, max_repeats, docs, tokens_available, tokens_used, uses, most_repeats, actual_share): the report."""
+    """(source, target_share, max_repeats, docs, tokens_available, tokens_used, uses, most_repeats, actual_share, corpus_share): the
+    report; corpus_share is the size of the mix, copies and all, over the tokens of all target sources (the scarcest source decides it)."""
     have = sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens_available"))
     per_doc = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("times"), F.sum("n_tokens").alias("tokens"))
     got = per_doc.groupBy("source").agg(F.sum("tokens").alias("tokens_used"), F.sum("times").alias("uses"), F.max("times").alias("most_repeats"))
-    total = got.agg(F.sum("tokens_used").alias("total"))
+    total = got.agg(F.sum("tokens_used").alias("total")).join(have.agg(F.sum("tokens_available").alias("corpus")))  # one row each
     zero = F.lit(0).cast("long")
     return (
         targets.select("source", "target_share", "max_repeats")
         .join(have, "source", "left")
         .join(got, "source", "left")
         .join(total)  # one row
-        .select("source", "target_share", "max_repeats", *[F.coalesce(c, zero).alias(c) for c in ("docs", "tokens_available", "tokens_used", "uses", "most_repeats")], F.coalesce(F.col("tokens_used") / F.col("total"), F.lit(0.0)).alias("actual_share"))
+        .select("source", "target_share", "max_repeats", *[F.coalesce(c, zero).alias(c) for c in ("docs", "tokens_available", "tokens_used", "uses", "most_repeats")], F.coalesce(F.col("tokens_used") / F.col("total"), F.lit(0.0)).alias("actual_share"), F.coalesce(F.col("total") / F.col("corpus"), F.lit(0.0)).alias("corpus_share"))
     )

@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
 from fernglass.llm import encode, lexicon, mixing
@@ -90,3 +91,27 @@ def test_mix(spark):
     assert mixing.mix(sized, targets.limit(0)).collect() == []
     capped = mixing.mix(sized, targets, total_tokens=30_000, shards=2)
     assert sum(r.n_tokens for r in capped.collect() if r.source == "small") == 6000
+
+
+def test_large_urns():
+    rng = np.random.default_rng(3)
+    for good, bad, drawn in ((6_000_000_000, 2_000_000_000, 4_000_000_000), (1_000_000_000, 10, 500_000_000), (5, 3_000_000_000, 1_000_000_000), (0, 2_000_000_000, 7), (2_000_000_000, 0, 7)):
+        got = [mixing.hypergeometric(rng, good, bad, drawn) for _ in range(4)]
+        assert all(max(0, drawn - bad) <= g <= min(good, drawn) for g in got)
+        mean = drawn * good / (good + bad)
+        assert all(abs(g - mean) <= 8 * (mean * bad / (good + bad)) ** 0.5 + 1 for g in got)
+    # the large urn's law is that of the small one
+    a = np.array([mixing.hypergeometric(rng, 400, 600, 300) for _ in range(4000)])
+    b = np.array([mixing.hypergeometric(rng, 400, 600, 300, limit=1) for _ in range(4000)])
+    assert abs(a.mean() - b.mean()) < 0.5 and abs(a.std() - b.std()) < 0.4
+    quotas = {"a": 6_000_000_000, "b": 1_500_000_000, "c": 3}
+    parts = mixing.split_quotas(quotas, 5, 1)
+    assert {n: sum(p[n] for p in parts) for n in quotas} == quotas
+
+
+@needs_files
+def test_nul_at_a_chunk(spark):
+    texts = ["a \x00b", "x \x00", "\x00a b", "\x00", " \x00 \x00 "]
+    want = [reference().encode_ordinary(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.ids for r in encode.ids(df, "doc_id", "text").orderBy("doc_id").collect()] == want

@@ -184,3 +184,15 @@ def test_language_by_true_cosine():
 
 def test_list_items_count_by_content():
     assert [language.counts(s) for s in ("- A sentence of a list.", "- Paris: 30", "* Ann Bell", "# Heading", "", "Plain text")] == [True, False, False, False, False, True]
+
+
+def test_fold_in_is_the_update_with_h_fixed():
+    docs = [({"goal": 3, "match": 2, "the": 4}, {"sport"}), ({"goal": 1, "team": 2, "the": 3}, {"sport"}), ({"court": 3, "judge": 2, "the": 5}, {"law"}), ({"judge": 1, "court": 1, "match": 1, "the": 2}, {"law"})]
+    f = subjects.factor(docs, ["law", "sport"])
+    assert np.allclose(f.h.sum(0), 1, atol=1e-4)
+    folder = subjects.Folder(f)
+    w = folder.weights(["goal court", "goal goal match", "nothing known"], folds=1)
+    known = [f.terms[t] for t in ("goal", "court")]
+    want = sum(f.trust[j] * f.h[j] / f.h[j].sum() for j in known)
+    assert np.allclose(w[0], want, atol=1e-4) and (w[2] == 0).all()
+    assert [folder.f.subjects[i] if i >= 0 else None for i in folder.about(["goal goal match team", "nothing known"])] == ["sport", None]

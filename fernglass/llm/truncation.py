@@ -2,7 +2,8 @@
 
 Each value is brought to plain text (tags out, entities decoded, white space as single spaces), the
 signs that more follows are taken off its end, and its ending is read: inside a tag or entity;
-closed by a full stop; a credit, hashtag, address or quotation; a rhetorical "..."; or open.
+closed by a full stop; a credit, hashtag, address or quotation; a rhetorical "..."; or open. An ending that looks like half an
+entity or tag but stands as a word elsewhere ("R&D", "<") is none.
 
 **Self-join by prefix.** All distinct texts are range-partitioned and sorted. If any text has another
 one as a strict prefix, then so has the next one in the order, so one look at the next text finds
@@ -39,7 +40,6 @@ from fernglass.session import written
 
 LIMIT_CASES, LIMIT_WIDTH = 5, 10
 END_SHARE = 0.01  # of the places with these last words that must be sentence ends
-MIN_PREFIX = 24
 KNOWN = 3
 
 _TAG = re.compile(r"<[^<>]*>")
@@ -137,7 +137,7 @@ def _read(fields: list[str]):
                         new = h not in seen
                         seen.add(h)
                         title = ending == "open" and title is not None and text == " ".join(title.split())
-                        row = (i, s, field, h, text if new else None, "title" if title else ending, marked, len(text), context(_SENTENCE.split(text)[-1]) if ending == "open" else None, last_word(text) if ending == "open" else None)
+                        row = (i, s, field, h, text if new else None, "title" if title else ending, marked, len(text), context(_SENTENCE.split(text)[-1]) if ending == "open" else None, last_word(text) if ending == "open" else last_word(v) if ending == "broken" else None)
                         for col, x in zip(out, row, strict=True):
                             col.append(x)
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.string(), pa.string())
@@ -177,7 +177,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in b.column(0).to_pylist():
             if held is None:
                 first = t
-            elif t != held and len(held) >= MIN_PREFIX and t.startswith(held):
+            elif t != held and held and t.startswith(held):
                 out.append((xxhash.xxh3_64_intdigest(held) - 2**63, _follows(held, t), None, None, None))
             held = t
         yield rows(out)
@@ -194,7 +194,7 @@ def continuations(read: DataFrame) -> DataFrame:
     edges = sorted((r.part, r.edge, r.text) for r in scanned.where("edge is not null").select("part", "edge", "text").collect())  # two texts a partition
     more = []
     for (_, kind, text), (_, kind2, nxt) in zip(edges, edges[1:], strict=False):
-        if kind == "last" and kind2 == "first" and len(text) >= MIN_PREFIX and nxt != text and nxt.startswith(text):
+        if kind == "last" and kind2 == "first" and text and nxt != text and nxt.startswith(text):
             more.append((xxhash.xxh3_64_intdigest(text) - 2**63, _follows(text, nxt)))
     found = scanned.where("edge is null").select("h", "follows")
     if more:
@@ -249,8 +249,8 @@ def truncated(df: DataFrame, record_id: str, source: str, title: str, fields: li
     rows = read.drop("text")
     follows = continuations(read)
     # the counts are only asked for the last words of open, unsigned values
-    unsure = rows.where("ending = 'open' and not marked")
-    asked = unsure.select(F.explode(F.array(F.struct(F.lit("c").alias("kind"), F.col("ctx").alias("key")), F.struct(F.lit("w").alias("kind"), F.col("word").alias("key")))).alias("x")).select("x.*").distinct()
+    unsure = rows.where("ending = 'open' and not marked or ending = 'broken'")
+    asked = unsure.select(F.explode(F.array(F.struct(F.lit("c").alias("kind"), F.col("ctx").alias("key")), F.struct(F.lit("w").alias("kind"), F.col("word").alias("key")))).alias("x")).select("x.*").where("key is not null").distinct()
     counts = read.where("text is not null").select("text").mapInArrow(_counted, "kind string, key string, ends long, places long").groupBy("kind", "key").agg(F.sum("ends").alias("ends"), F.sum("places").alias("places"))
     answers = written(asked.join(counts, ["kind", "key"]))
     ctx = answers.where("kind = 'c'").select(F.col("key").alias("ctx"), "ends", "places")
@@ -259,7 +259,7 @@ def truncated(df: DataFrame, record_id: str, source: str, title: str, fields: li
     complete = (F.col("ends") >= F.greatest(F.lit(2), END_SHARE * F.col("places"))) & (F.col("seen") >= KNOWN)
     cut_inside = (F.col("follows") == "inside") & F.col("ending").isin("open", "title", "credit")
     reason = (
-        F.when(F.col("ending") == "broken", "markup")
+        F.when((F.col("ending") == "broken") & (F.coalesce(F.col("seen"), F.lit(0)) < KNOWN), "markup")
         .when((F.col("ending") == "open") & F.col("marked"), "sign")
         .when(cut_inside, "prefix")
         .when((F.col("ending") == "open") & ~F.coalesce(complete, F.lit(False)), F.when(F.col("follows") == "open", "prefix").when(F.coalesce(F.col("seen"), F.lit(0)) < KNOWN, "word").otherwise("sentence"))
@@ -270,7 +270,10 @@ def truncated(df: DataFrame, record_id: str, source: str, title: str, fields: li
     limits = sure.where((F.col("cases") >= LIMIT_CASES) & (F.col("high") - F.col("low") <= LIMIT_WIDTH))
     out = judged.join(limits, ["source", "field"], "left")
     at_limit = (F.col("ending") == "open") & F.col("chars").between(F.col("low") - 4, F.col("high") + 4)
-    return out.withColumn("reason", F.coalesce("reason", F.when(at_limit, "limit"))).where("reason is not null").select("record_id", "field", "source", "reason")
+    found = out.withColumn("reason", F.coalesce("reason", F.when(at_limit, "limit"))).where("reason is not null").select("record_id", "field", "source", "reason")
+    # what looks complete and goes on inside a sentence in a longer copy ("3." of "3.5", "U.S. of")
+    seems = rows.where("ending in ('closed', 'rhetoric')").select("record_id", "field", "source", "h").join(follows.where("follows = 'inside'").select("h"), "h")
+    return found.unionByName(seems.select("record_id", "field", "source", F.lit("prefix").alias("reason")))
 
 
 def rates(df: DataFrame, cases: DataFrame, source: str, fields: list[str]) -> DataFrame:

@@ -142,3 +142,11 @@ def test_prefixes_against_brute_force(spark):
 
     want = {xxhash.xxh3_64_intdigest(t) - 2**63 for t in texts if any(u != t and u.startswith(t) for u in texts)}
     assert found == want
+
+
+def test_short_prefixes_and_ampersands(spark):
+    rows = [(i, 1, f"T{i}", f"The firm does R&D in town {i} and more of it. It sold < and > signs.", None) for i in range(8)]
+    rows += [(50, 1, "T", "The bridge fell on M", None), (51, 1, "T", "The bridge fell on Monday. It was late.", None), (52, 1, "T", "A long story. Nobody does R&D", None), (53, 1, "T", "A long story about &am", None), (54, 1, "T", "It grew by 3.", None), (55, 1, "T", "It grew by 3.5 in all.", None)]
+    df = spark.createDataFrame(rows, "parsed_id long, feed_id long, title string, summary string, content string")
+    got = {r.record_id: r.reason for r in truncation.truncated(df, "parsed_id", "feed_id", "title", ["summary", "content"]).collect()}
+    assert got[50] == got[54] == "prefix" and got[53] == "markup" and 52 not in got and 51 not in got and 55 not in got

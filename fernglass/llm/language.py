@@ -32,7 +32,7 @@ DIM = 1 << 15
 CENTROIDS = 3
 MAX_SAMPLES = 20_000
 MIN_WORDS = 4
-REJECT = 0.12
+REJECT = 0.1
 
 # Names and codes of the languages, as labels give them.
 LABELS = {
@@ -109,8 +109,15 @@ class Classifier:
 
     def _vector(self, word: str) -> tuple[np.ndarray, np.ndarray]:
         """The n-grams of a word, and their TF-IDF weights."""
-        g, n = np.unique(np.array(grams(word), np.int64), return_counts=True)
-        return g, n * self.model.idf[g]
+        g = grams(word)
+        if len(set(g)) == len(g):
+            at = np.array(g, np.int64)
+            return at, self.model.idf[at]
+        n: dict[int, int] = {}
+        for x in g:
+            n[x] = n.get(x, 0) + 1
+        at = np.fromiter(n, np.int64, len(n))
+        return at, np.fromiter(n.values(), np.float32, len(n)) * self.model.idf[at]
 
     def _learn(self, new: set[str]) -> None:
         for w in new:
@@ -119,9 +126,10 @@ class Classifier:
             if i == len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             g, x = self._vector(w)
-            self.rows[i, :-2] = (x / self.model.idf[g]) @ self.model.table[g]  # the table has the weights of the idf
-            square = float((x * x).sum())
-            self.rows[i, -2:] = square, np.sqrt(square)
+            n = x / self.model.idf[g] if len(g) < len(w) * 4 - 2 else None  # the table has the weights of the idf
+            self.rows[i, :-2] = self.model.table[g].sum(0) if n is None else n @ self.model.table[g]
+            square = float(x @ x)
+            self.rows[i, -2:] = square, square**0.5
 
     def _length(self, words: list[str]) -> float:
         g, x = (np.concatenate(c) for c in zip(*map(self._vector, words), strict=True))

@@ -29,7 +29,8 @@ import html
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +55,9 @@ _STOPS, _CLOSERS = tuple(".!?…"), "\"'”»«)]*_"
 _SENTENCE = re.compile(r"[.!?…](?=\s|$)")
 _LINK = re.compile(r"\[([^\[\]\n]*)\]\([^()\s]*\)")
 _FIGURES = re.compile(r"^[-*•]?\s*[^:]{1,60}:\s*\d")
-_ROW = re.compile(r"\s[|·/>›»•]\s|\S {2,}\S")
-_WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
+# What stands between the parts of a row, besides wide gaps.
+_BETWEEN = ("  ", " | ", " · ", " / ", " > ", " › ", " » ", " • ")
+_WORD_OR_END = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|\n")
 
 
 def decode_page(body: bytes, charset: str | None) -> str:
@@ -173,65 +175,103 @@ def _code(f: str) -> int:
     return c
 
 
+# Codes of what many blocks have in common, remembered by the worker.
+
+
+@lru_cache(4096)
+def _codes_of(*features: str) -> tuple[int, ...]:
+    return tuple(map(_code, features))
+
+
+@lru_cache(20_000)
+def _place(kind: str, start: int, end: int, apart: str, words) -> tuple[int, ...]:
+    return _codes_of(kind, f"{kind} from start {start}", f"{kind} from end {end}", f"words {words}", *([apart] if apart else []))
+
+
+@lru_cache(20_000)
+def _shape(end: str, many: int, mark: str) -> tuple[int, ...]:
+    return _codes_of(f"end {end}", f"sentences {many}", f"mark {mark}", f"end {end} sentences {many}", f"mark {mark} end {end}")
+
+
+@lru_cache(20_000)
+def _markup(tag: str, inside: bool, end: str, above: frozenset, share: str) -> tuple[int, ...]:
+    return _codes_of("tag " + tag, "with heading" if inside else "beside heading", f"tag {tag} end {end} {inside}", *["above " + a for a in sorted(above)], f"link {share}", f"end {end} {inside}")
+
+
 _word_codes: dict[str, int] = {}
 
 
-def _word_features(low: str) -> list[int]:
-    """Of each distinct word of the lower-case text, and of its first two and last."""
-    toks = _WORD.findall(low)
-    if not toks:
-        return []
+def _word_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text's number, code) of each distinct word of lower-case texts, and of their first two and last words."""
+    toks = _WORD_OR_END.findall("\n".join(texts) + "\n")
     known = _word_codes
-    out = []
-    for t in dict.fromkeys(toks):
-        c = known.get(t)
-        if c is None:
-            if len(known) > 400_000:
-                known.clear()
-            c = known[t] = zlib.crc32(("w 0" if t.isdigit() else "w " + t).encode("utf-8", "replace")) & (DIM - 1)
-        out.append(c)
-    first, last = ["0" if t.isdigit() else t for t in toks[:2]], "0" if toks[-1].isdigit() else toks[-1]
-    return [*out, _code("first " + " ".join(first)), _code("last " + last)]
+    if len(known) > 400_000:
+        known.clear()
+    for t in set(toks).difference(known):
+        known[t] = zlib.crc32(("w 0" if t.isdigit() else "w " + t).encode("utf-8", "replace")) & (DIM - 1) if t != "\n" else -1
+    codes = np.fromiter(map(known.__getitem__, toks), np.int64, len(toks))
+    ends = np.flatnonzero(codes < 0)
+    at = np.searchsorted(ends, np.flatnonzero(codes >= 0))
+    row, code = np.divmod(np.unique(at * DIM + codes[codes >= 0]), DIM)
+    more, of = [], []
+    before = 0
+    for i, e in enumerate(ends.tolist()):
+        if e > before:
+            first = " ".join("0" if t.isdigit() else t for t in toks[before : min(before + 2, e)])
+            last = toks[e - 1]
+            more += [_code("first " + first), _code("last 0" if last.isdigit() else "last " + last)]
+            of += [i, i]
+        before = e + 1
+    return np.concatenate([row, np.array(of, np.int64)]), np.concatenate([code, np.array(more, np.int64)])
+
+
+def flat_features(docs: list[tuple[list[Block], str]], is_page: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed features of every block of each document (blocks, site), flat as in ``crf``."""
+    shapes: list[tuple[int, ...]] = []
+    lows = []
+    kind = "page" if is_page else "body"
+    for blocks, name in docs:
+        site = " ".join((name or "").lower().split())
+        n, before = len(blocks), -2
+        for i, b in enumerate(blocks):
+            s = " ".join(b.text.split())
+            words = s.count(" ") + 1
+            f = _place(kind, min(i, 3), min(n - 1 - i, 6), "" if is_page else "joined" if b.line_no == before + 1 else "apart", min(words, 12) if words <= 30 else "many")
+            before = b.line_no
+            plain = _LINK.sub(r"\1", s) if "](" in s else s
+            end = "stop" if _stops(plain) else plain[-1:] if not plain[-1:].isalnum() else "open"
+            many = sum(1 for _ in islice(_SENTENCE.finditer(plain), 2))
+            f += _shape(end, many, plain[:1] if not plain[:1].isalnum() else "letter")
+            low = plain.lower()
+            lows.append(low.replace(site, " ownsite ") if site and site in low else low)
+            if _FIGURES.match(plain):
+                f += _codes_of("figures")
+            if plain.isupper():
+                f += _codes_of("capitals")
+            if "@" in plain:
+                f += _codes_of("mail")
+            text = b.text.strip()
+            if any(x in text for x in _BETWEEN):
+                f += _codes_of("row")
+            if is_page:
+                share = b.linked / max(len(s), 1)
+                f += _markup(b.tag, b.inside, end, b.above, "all" if share > 0.85 else "some" if share else "none")
+            shapes.append(f)
+    if not shapes:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.array([len(bs) for bs, _ in docs], np.int64)
+    sizes = np.fromiter(map(len, shapes), np.int64, len(shapes))
+    row, code = _word_features(lows)
+    rows = np.concatenate([np.repeat(np.arange(len(shapes)), sizes), row])
+    feats = np.concatenate([np.fromiter(chain.from_iterable(shapes), np.int64, int(sizes.sum())), code])
+    order = np.argsort(rows, kind="stable")
+    counts = np.bincount(rows, minlength=len(shapes))
+    return feats[order], np.cumsum(counts) - counts, np.array([len(bs) for bs, _ in docs], np.int64)
 
 
 def features(blocks: list[Block], site: str, is_page: bool) -> list[list[int]]:
     """Hashed features of every block of one document."""
-    site = " ".join((site or "").lower().split())
-    out, n = [], len(blocks)
-    kind = "page" if is_page else "body"
-    before = -2
-    for i, b in enumerate(blocks):
-        s = " ".join(b.text.split())
-        f = [kind, f"{kind} from start {min(i, 3)}", f"{kind} from end {min(n - 1 - i, 6)}"]
-        if not is_page:
-            f.append("joined" if b.line_no == before + 1 else "apart")
-        before = b.line_no
-        words = s.count(" ") + 1
-        f.append(f"words {min(words, 12) if words <= 30 else 'many'}")
-        plain = _LINK.sub(r"\1", s) if "](" in s else s
-        end = "stop" if _stops(plain) else plain[-1:] if not plain[-1:].isalnum() else "open"
-        many = sum(1 for _ in islice(_SENTENCE.finditer(plain), 2))
-        mark = plain[:1] if not plain[:1].isalnum() else "letter"
-        f += [f"end {end}", f"sentences {many}", f"mark {mark}", f"end {end} sentences {many}", f"mark {mark} end {end}"]
-        low = plain.lower()
-        if site and site in low:
-            low = low.replace(site, " ownsite ")
-        if _FIGURES.match(plain):
-            f.append("figures")
-        if plain.isupper():
-            f.append("capitals")
-        if "@" in plain:
-            f.append("mail")
-        if _ROW.search(b.text.strip()):
-            f.append("row")
-        if is_page:
-            f += ["tag " + b.tag, "beside heading" if not b.inside else "with heading", f"tag {b.tag} end {end} {b.inside}"]
-            f += ["above " + a for a in b.above]
-            share = b.linked / max(len(s), 1)
-            f.append("link all" if share > 0.85 else "link some" if share else "link none")
-            f.append(f"end {end} {b.inside}")
-        out.append([*map(_code, f), *_word_features(low)])
-    return out
+    feats, starts, _ = flat_features([(blocks, site)], is_page)
+    return [f.tolist() for f in np.split(feats, starts[1:])] if len(starts) else []
 
 
 def weak_label(b: Block, site: str, is_page: bool) -> int:
@@ -268,7 +308,7 @@ def _flat(docs: list[list[list[int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def fit(bodies: DataFrame | None, pages: DataFrame | None, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Crf:
     """Train on a bounded sample. ``bodies``: id, text, site; ``pages``: id, bytes, character set (by position)."""
-    docs, labels = [], []
+    parts, lens, labels = [], [], []
     for df, is_page in ((bodies, False), (pages, True)):
         if df is None:
             continue
@@ -279,14 +319,19 @@ def fit(bodies: DataFrame | None, pages: DataFrame | None, train_docs: int = TRA
             if size <= left:
                 ids.append(i)
                 left -= size
+        docs = []
         sample = df.where(F.col(key).isin(ids)).orderBy(F.xxhash64(key), key)
         for batch in sample.select(key, text, more).toArrow().to_batches():
-            for _, blocks, site in _documents(batch, is_page):
-                if blocks:
-                    feats = features(blocks, site, is_page)
-                    docs += [feats[lo : lo + PIECE] for lo in range(0, len(feats), PIECE)]
-                    labels += [weak_label(b, site, is_page) for b in blocks]
-    return train(*_flat(docs), np.array(labels, np.int64), DIM)
+            docs += [(blocks, site) for _, blocks, site in _documents(batch, is_page) if blocks]
+        feats, starts, sizes = flat_features(docs, is_page)
+        parts.append((feats, starts))
+        for n in sizes.tolist():
+            lens += [PIECE] * (n // PIECE) + [n % PIECE] * (n % PIECE > 0)
+        labels += [weak_label(b, site, is_page) for blocks, site in docs for b in blocks]
+    offset = np.cumsum([0, *(len(f) for f, _ in parts)])
+    feats = np.concatenate([f for f, _ in parts]) if parts else np.empty(0, np.int64)
+    starts = np.concatenate([s + o for (_, s), o in zip(parts, offset, strict=False)]) if parts else np.empty(0, np.int64)
+    return train(feats, starts, np.array(lens, np.int64), np.array(labels, np.int64), DIM)
 
 
 def boilerplate_lines(df: DataFrame, crf: Crf, is_page: bool) -> DataFrame:
@@ -298,20 +343,15 @@ def boilerplate_lines(df: DataFrame, crf: Crf, is_page: bool) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                rows, blocks, feats = [], [], []
-                for i, bs, site in _documents(part, is_page):
-                    if bs:
-                        rows.append(i)
-                        blocks.append([b.lines for b in bs])
-                        feats.append(features(bs, site, is_page))
-                if not rows:
+                docs = [(i, bs, site) for i, bs, site in _documents(part, is_page) if bs]
+                if not docs:
                     continue
-                got = iter(model.value.decode(*_flat(feats)).tolist())
+                got = iter(model.value.decode(*flat_features([(bs, site) for _, bs, site in docs], is_page)).tolist())
                 which, no = [], []
-                for i, own in zip(rows, blocks, strict=True):
+                for i, bs, _ in docs:
                     gone, kept = set(), set()
-                    for lines in own:
-                        (gone if next(got) else kept).update(lines)
+                    for b in bs:
+                        (gone if next(got) else kept).update(b.lines)
                     gone = sorted(gone - kept)
                     which += [i] * len(gone)
                     no += gone
@@ -323,7 +363,7 @@ def boilerplate_lines(df: DataFrame, crf: Crf, is_page: bool) -> DataFrame:
 def own_lines(crf: Crf, texts: list[str], sites: list[str | None]) -> list[list[str]]:
     """The lines of each Markdown body that are main text."""
     blocks = [body_blocks(t) for t in texts]
-    got = iter(crf.decode(*_flat([features(bs, s or "", False) for bs, s in zip(blocks, sites, strict=True) if bs])).tolist())
+    got = iter(crf.decode(*flat_features([(bs, s or "") for bs, s in zip(blocks, sites, strict=True) if bs], False)).tolist())
     return [[b.text for b in bs if not next(got)] for bs in blocks]
 
 

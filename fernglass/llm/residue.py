@@ -48,14 +48,16 @@ CUES = {
 }
 _CUE = r"(?iU)(?<![\p{L}\p{N}])(?:" + "|".join(CUES.values()) + r")(?![\p{L}\p{N}])"
 
-# Words of which every cue has one. They spare the other texts the longer pattern.
-CUE_WORDS = (
-    "found error errors occurred gateway unavailable respond forbidden unauthorised unauthorized denied permission moment wait robot human browser javascript scripts cookies "
-    "attention check captcha wrong again looked moved exception trace traceback requests construction untitled post page document draft sample headline copy title "
-    "gefunden fehler serverfehler verweigert verboten berechtigung schiefgelaufen aktivieren warten roboter mensch titel beitrag verfügbar "
-    "trouvée introuvable erreur survenue refusé interdit accès activer instant titre article indisponible "
-    "encontrada encontrado encontramos acceso denegado prohibido permiso momento título entrada salido disponible erro acesso negado proibido permissão robô indisponível "
-    "gevonden bestaat fout serverfout geweigerd bekijken ogenblik bericht misgegaan"
+# Of these every cue has one. They spare the other texts the longer pattern.
+CUE_SIGNS = (
+    "not found|not be found|error|errors|gateway|unavailable|not respond in time|forbidden|unauthorised|unauthorized|denied|have permission to|moment|please wait|robot|human|browser|"
+    "javascript|scripts|cookies|attention required|security check|captcha|went wrong|try again later|looked everywhere|to have moved|uncaught exception|stack trace|traceback|too many requests|"
+    "under construction|untitled|new post|new page|new document|draft|sample|headline goes|copy|no title|title goes|"
+    "nicht gefunden|fehler|serverfehler|verweigert|verboten|keine berechtigung|schiefgelaufen|bitte aktivieren|bitte warten|roboter|mensch|ohne titel|neuer beitrag|nicht verfügbar|"
+    "non trouvée|introuvable|erreur|refusé|interdit|avez pas accès|veuillez activer|un instant|sans titre|nouvel article|service indisponible|"
+    "no encontrada|no encontrado|se encontrada|se encontrado|hemos encontrado|denegado|prohibido|tiene permiso|momento|sin título|nueva entrada|salido mal|no disponible|"
+    "não encontrada|não encontrado|não encontramos|erro|negado|proibido|tem permissão|robô|sem título|novo post|serviço indisponível|"
+    "niet gevonden|bestaat niet|fout|serverfout|geweigerd|niet bekijken|ogenblik|zonder titel|nieuw bericht|misgegaan"
 )
 
 # Placeholder syntaxes.
@@ -101,11 +103,8 @@ def _trie(words: list[str]) -> str:
     return ("(?:" + "|".join(alts) + ")" if len(alts) > 1 or "" in words else alts[0]) + ("?" if "" in words else "")
 
 
-_HAS_CUE_WORD = r"(?<![\p{L}\p{N}])" + _trie(sorted(set(CUE_WORDS.split()))) + r"(?![\p{L}\p{N}])"
-
-
 def has_cue(text: Column) -> Column:
-    return F.when(F.lower(text).rlike(_HAS_CUE_WORD), text.rlike(_CUE)).otherwise(False)
+    return text.rlike(_CUE)
 
 
 def _with_site(text: Column, site: Column | None) -> Column:
@@ -122,9 +121,9 @@ def masked(text: Column, site: Column | None = None) -> Column:
 
 def rough_leaf(text: Column, site: Column | None = None, depth: int = 3) -> Column:
     """Equal for messages of one leaf: the number of words and the masked first ones, without masking the whole text."""
-    words = F.split(F.trim(_with_site(text, site)), r"\s+")
-    first = masked(F.concat_ws(" ", F.slice(words, 1, depth)))
-    return F.xxhash64(F.size(words), F.array_join(F.slice(F.split(first, " "), 1, depth), " "))
+    t = F.trim(_with_site(text, site))
+    first = masked(F.substring_index(t, " ", depth))
+    return F.xxhash64(F.size(F.split(t, " ")), F.substring_index(first, " ", depth))
 
 
 def mine_templates(messages: DataFrame, depth: int = 3, constant: float = 0.6, agree: float = 0.5) -> DataFrame:
@@ -188,8 +187,11 @@ def has_filler(text: Column, whole: Column | None = None) -> Column:
         out = (n >= 5) & (known >= 0.6 * n)
         return out if whole is None else out | (whole & (n >= 2) & (known == n))
 
-    # a line of filler has three words of it (a title two): the lines of other texts are not looked at
-    return F.when(F.regexp_count(F.lower(text), F.lit(_FILLER)) >= 2, F.exists(F.split(text, "\n"), filler)).otherwise(False)
+    return F.exists(F.split(text, "\n"), filler)
+
+
+#: What a text with a cue or filler has behind a space or sign. One walk spares all others the patterns; the classes are wider than words ask.
+_SUSPECT = r"[^a-zß-ÿ0-9]" + _trie(sorted({*FILLER_WORDS.split(), *CUE_SIGNS.split("|")})) + r"(?![a-zß-ÿ0-9])"
 
 
 def residue(docs: DataFrame, doc_id: str, title: str, body: str, site: str | None = None) -> DataFrame:
@@ -199,12 +201,13 @@ def residue(docs: DataFrame, doc_id: str, title: str, body: str, site: str | Non
     fields = src.select("doc_id", "site", F.explode(F.array(F.struct(F.lit("title").alias("field"), F.col("t").alias("text")), F.struct(F.lit("body").alias("field"), F.col("b").alias("text")))).alias("f"))
     fields = fields.select("doc_id", "site", "f.field", "f.text").where(F.trim("text") != "")
     is_title = F.col("field") == "title"
-    cue = is_title | has_cue(F.col("text"))
+    fields = fields.withColumn("suspect", F.lower(F.concat(F.lit(" "), F.col("text"))).rlike(_SUSPECT))
+    cue = is_title | F.when(F.col("suspect"), has_cue(F.col("text"))).otherwise(False)
     marked = fields.select(
         "doc_id",
         "field",
         (has_slot(F.col("text")) | (is_title & F.col("text").rlike(EMPTY_TITLES))).alias("slot"),
-        has_filler(F.col("text"), is_title).alias("filler"),
+        F.when(F.col("suspect"), has_filler(F.col("text"), is_title)).otherwise(False).alias("filler"),
         F.when(~is_title, rough_leaf(F.col("text"), F.col("site"))).alias("leaf"),
         F.when(cue, masked(F.col("text"), F.col("site"))).alias("key"),
     )
@@ -213,7 +216,7 @@ def residue(docs: DataFrame, doc_id: str, title: str, body: str, site: str | Non
     bodies = marked.where("field = 'body'")
     leaves = bodies.where("key is not null").select("leaf").distinct()
     mates = written(bodies.where("key is null").join(leaves, "leaf", "left_semi").select("doc_id").distinct())
-    theirs = src.join(mates, "doc_id", "left_semi").select("doc_id", F.lit("body").alias("field"), masked(F.col("b"), F.col("site")).alias("theirs")).distinct()
+    theirs = written(src.join(mates, "doc_id", "left_semi").select("doc_id", F.lit("body").alias("field"), masked(F.col("b"), F.col("site")).alias("theirs")).distinct())
     messages = marked.where("key is not null").select("key").unionByName(theirs.select(F.col("theirs").alias("key")))
     notices = mine_templates(messages)
     # a template's verdict depends on the field as well; both are worked out once a template

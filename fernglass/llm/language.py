@@ -57,6 +57,9 @@ def label_language(label: Column) -> Column:
 
 def grams(word: str) -> list[int]:
     w = f"\x02{word}\x03"
+    if w.isascii():
+        b, crc = w.encode(), zlib.crc32
+        return [crc(b[i : i + n]) & (DIM - 1) for n in (1, 2, 3, 4) for i in range(len(b) - n + 1)]
     return [zlib.crc32(w[i : i + n].encode()) & (DIM - 1) for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)]
 
 
@@ -160,7 +163,8 @@ class Classifier:
         top = best[np.arange(len(lines)), order[:, 0]]
         second = best[np.arange(len(lines)), order[:, min(1, best.shape[1] - 1)]]
         ok = (lens >= MIN_WORDS) & near & (len(self.names) > 0)
-        return [(self.names[order[i, 0]], float(round((top[i] - second[i]) / max(top[i], 1e-9), 4))) if ok[i] else (None, 0.0) for i in range(len(lines))]
+        sure = np.round((top - second) / np.maximum(top, 1e-9), 4).tolist()
+        return [(self.names[k], x) if good else (None, 0.0) for k, x, good in zip(order[:, 0].tolist(), sure, ok.tolist(), strict=True)]
 
 
 def counts(line: str) -> bool:

@@ -56,8 +56,8 @@ _SENTENCE = re.compile(r"[.!?…](?=\s|$)")
 _LINK = re.compile(r"\[([^\[\]\n]*)\]\([^()\s]*\)")
 _FIGURES = re.compile(r"^[-*•]?\s*[^:]{1,60}:\s*\d")
 # What stands between the parts of a row, besides wide gaps.
-_BETWEEN = ("  ", " | ", " · ", " / ", " > ", " › ", " » ", " • ")
-_WORD_OR_END = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|\n")
+_BETWEEN = re.compile(r" [|·/>›»•] ")
+_WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 
 
 def decode_page(body: bytes, charset: str | None) -> str:
@@ -198,31 +198,41 @@ def _markup(tag: str, inside: bool, end: str, above: frozenset, share: str) -> t
     return _codes_of("tag " + tag, "with heading" if inside else "beside heading", f"tag {tag} end {end} {inside}", *["above " + a for a in sorted(above)], f"link {share}", f"end {end} {inside}")
 
 
-_word_codes: dict[str, int] = {}
+class _Tokens(dict):
+    """By what stands between white space: the codes of its words, and the first two and last of them."""
+
+    def __missing__(self, token: str) -> tuple[tuple[int, ...], list[str], str]:
+        if len(self) > 400_000:
+            self.clear()
+        words = ["0" if w.isdigit() else w for w in _WORD.findall(token)]
+        out = self[token] = tuple(zlib.crc32(("w " + w).encode("utf-8", "replace")) & (DIM - 1) for w in words), words[:2], words[-1] if words else ""
+        return out
+
+
+_tokens = _Tokens()
 
 
 def _word_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(text's number, code) of each distinct word of lower-case texts, and of their first two and last words."""
-    toks = _WORD_OR_END.findall("\n".join(texts) + "\n")
-    known = _word_codes
-    if len(known) > 400_000:
-        known.clear()
-    for t in set(toks).difference(known):
-        known[t] = zlib.crc32(("w 0" if t.isdigit() else "w " + t).encode("utf-8", "replace")) & (DIM - 1) if t != "\n" else -1
-    codes = np.fromiter(map(known.__getitem__, toks), np.int64, len(toks))
-    ends = np.flatnonzero(codes < 0)
-    at = np.searchsorted(ends, np.flatnonzero(codes >= 0))
-    row, code = np.divmod(np.unique(at * DIM + codes[codes >= 0]), DIM)
-    more, of = [], []
-    before = 0
-    for i, e in enumerate(ends.tolist()):
-        if e > before:
-            first = " ".join("0" if t.isdigit() else t for t in toks[before : min(before + 2, e)])
-            last = toks[e - 1]
-            more += [_code("first " + first), _code("last 0" if last.isdigit() else "last " + last)]
+    codes: list[int] = []
+    lens, more, of = [], [], []
+    get = _tokens.__getitem__
+    for i, text in enumerate(texts):
+        toks = list(map(get, text.split()))
+        own: set[int] = set()
+        for t in toks:
+            own.update(t[0])
+        codes += own
+        lens.append(len(own))
+        if lens[-1]:
+            first = []
+            for t in toks:
+                first += t[1]
+                if len(first) > 1:
+                    break
+            more += [_code("first " + " ".join(first[:2])), _code("last " + next(t[2] for t in reversed(toks) if t[2]))]
             of += [i, i]
-        before = e + 1
-    return np.concatenate([row, np.array(of, np.int64)]), np.concatenate([code, np.array(more, np.int64)])
+    return np.concatenate([np.repeat(np.arange(len(texts)), lens), np.array(of, np.int64)]), np.array(codes + more, np.int64)
 
 
 def flat_features(docs: list[tuple[list[Block], str]], is_page: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -240,7 +250,8 @@ def flat_features(docs: list[tuple[list[Block], str]], is_page: bool) -> tuple[n
             before = b.line_no
             plain = _LINK.sub(r"\1", s) if "](" in s else s
             end = "stop" if _stops(plain) else plain[-1:] if not plain[-1:].isalnum() else "open"
-            many = sum(1 for _ in islice(_SENTENCE.finditer(plain), 2))
+            m = _SENTENCE.search(plain)
+            many = 0 if m is None else 1 if _SENTENCE.search(plain, m.end()) is None else 2
             f += _shape(end, many, plain[:1] if not plain[:1].isalnum() else "letter")
             low = plain.lower()
             lows.append(low.replace(site, " ownsite ") if site and site in low else low)
@@ -251,7 +262,7 @@ def flat_features(docs: list[tuple[list[Block], str]], is_page: bool) -> tuple[n
             if "@" in plain:
                 f += _codes_of("mail")
             text = b.text.strip()
-            if any(x in text for x in _BETWEEN):
+            if "  " in text or _BETWEEN.search(text):
                 f += _codes_of("row")
             if is_page:
                 share = b.linked / max(len(s), 1)

@@ -6,15 +6,18 @@ from pyspark.sql import Column, functions as F
 
 UNIT = "\x1f"
 RECORD = "\x1e"
+# Links and images as Markdown writes them.
 LINK = r"\[([^\]\n]*)\]\((https?://[^)\s]+)\)"
 IMAGE = r"!\[([^\]\n]*)\]\((https?://[^)\s]+)\)"
 MIN_CHARS, MIN_PARAGRAPHS = 500, 3
+#: Unicode's white space, and the four separators that Java's (?U)\\s lacks.
+BLANKS = r"(?U)[\s\x{1c}-\x{1f}]+"
 
 
 def normalise_text(text: Column) -> Column:
-    """without HTML comments, white space runs as one space, trimmed; null as ''."""
+    """without HTML comments, runs of white space (no-break spaces too) as one space, trimmed; null as ''."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<!--.*?-->", "")
-    return F.trim(F.regexp_replace(bare, r"[ \t\n\r\f\v]+", " "))
+    return F.trim(F.regexp_replace(bare, BLANKS, " "))
 
 
 def fingerprint(*fields: Column) -> Column:

@@ -58,10 +58,13 @@ def canonical_url(url: Column) -> Column:
 
 
 def host_of(url: Column) -> Column:
-    """the host that politeness counts by: lower case, one leading www. off, '' unless a plain http(s) address."""
+    """the host that politeness counts by: lower case, names beyond ASCII in their ASCII form (IDNA), one leading www.
+    off, '' unless a plain http(s) address."""
     u = F.trim(F.coalesce(url, F.lit("")))
     host = F.regexp_extract(u, r"^(?i)https?://(?:[^@/?#\s]*@)?([^:/?#@\s\[\]]+)(?::\d*)?(?:[/?#].*)?$", 1)
-    return F.regexp_replace(F.lower(host), r"^www\.", "")
+    low = F.lower(host)
+    plain = F.when(low.rlike(r"[^\x00-\x7f]"), F.coalesce(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), low), low)).otherwise(low)
+    return F.regexp_replace(plain, r"^www\.", "")
 
 
 def with_www(url: Column) -> Column:

@@ -41,8 +41,6 @@ ZONE_NAMES = {
 #: Zones whose publishers put the month first in all-numeric dates with slashes.
 MONTH_FIRST = ("America/New_York", "America/Los_Angeles")
 
-#: Characters; what is longer without its outer white space is no stamp.
-LONGEST = 100
 # White space.
 _BLANKS = " \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
@@ -98,7 +96,6 @@ def _literal_map(pairs: dict) -> Column:
 def parse_instant(value: Column, zone: Column) -> Column:
     """Microseconds since 1970-01-01 UTC that ``value`` denotes, local to ``zone`` where it names none; else null."""
     v = F.btrim(value, F.lit(_BLANKS))
-    v = F.when(F.length(v) <= LONGEST, v)
     months = _literal_map({n: i + 1 for names in MONTHS.values() for i, n in enumerate(names.split()) if n != "-"})
     offsets = _literal_map({k: int(h * 3600) for k, h in ZONE_NAMES.items()})
 

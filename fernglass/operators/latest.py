@@ -42,9 +42,13 @@ def chain_violations(versions: DataFrame) -> DataFrame:
     v = versions.select("version_id", "item_id", "supersedes_id")
     w = Window.partitionBy("item_id")
     roots = F.count_if(F.col("supersedes_id").isNull()).over(w)
+    v = v.withColumn("roots", roots)
+    # roots have no version before them: they are neither counted nor joined by that null
+    later = v.where("supersedes_id is not null")
+    twice = later.groupBy("supersedes_id").agg(F.count("*").alias("twice"))
     parents = v.select(F.col("version_id").alias("supersedes_id"), F.col("item_id").alias("parent_item"))
-    twice = F.count("supersedes_id").over(Window.partitionBy("supersedes_id"))
-    checked = v.withColumn("roots", roots).withColumn("twice", twice).join(parents, "supersedes_id", "left")
+    none = v.where("supersedes_id is null").withColumn("twice", F.lit(0).cast("long")).withColumn("parent_item", F.lit(None).cast("long"))
+    checked = later.join(twice, "supersedes_id").join(parents, "supersedes_id", "left").unionByName(none)
     fault = (
         F.when(F.col("supersedes_id") >= F.col("version_id"), "not after the version it supersedes")
         .when((F.col("supersedes_id").isNotNull()) & (F.col("twice") > 1), "supersedes a version twice")

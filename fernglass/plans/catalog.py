@@ -110,12 +110,15 @@ SQL["revisions"] = """select version_id, item_id, row_number() over (partition b
 
 @query
 def chain_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions that break the chain's checks."""
-    return latest.chain_violations(table(spark, sf_dir, "item_versions", "version_id", "item_id", "supersedes_id"))
+    """Versions that break the chain's checks; the archive's own do not, so some are given a wrong predecessor."""
+    v, one = table(spark, sf_dir, "item_versions", "version_id", "item_id", "supersedes_id"), F.col("version_id")
+    wrong = F.when(one % 40 == 7, one + 1).when(one % 40 == 9, one - 8).when(one % 40 == 11, one - 10).when(one % 40 == 13, F.lit(-1)).when(one % 40 == 15, F.lit(None)).otherwise(F.col("supersedes_id"))
+    return latest.chain_violations(v.withColumn("supersedes_id", wrong))
 
 
-SQL["chain_violations"] = """with c as (select v.*, p.item_id as parent_item, count(*) filter (v.supersedes_id is null) over (partition by v.item_id) as roots,
-      count(v.supersedes_id) over (partition by v.supersedes_id) as twice from item_versions v left join item_versions p on p.version_id = v.supersedes_id)
+SQL["chain_violations"] = """with w as (select version_id, item_id, case version_id % 40 when 7 then version_id + 1 when 9 then version_id - 8 when 11 then version_id - 10 when 13 then -1
+      when 15 then null else supersedes_id end as supersedes_id from item_versions), c as (select v.*, p.item_id as parent_item, count(*) filter (v.supersedes_id is null) over (partition by v.item_id) as roots,
+      count(v.supersedes_id) over (partition by v.supersedes_id) as twice from w v left join w p on p.version_id = v.supersedes_id)
     select version_id, fault from (select version_id, case when supersedes_id >= version_id then 'not after the version it supersedes'
       when supersedes_id is not null and twice > 1 then 'supersedes a version twice' when supersedes_id is not null and parent_item is null then 'supersedes no version'
       when parent_item <> item_id then 'supersedes another item' when roots <> 1 then 'not one root' end as fault from c) where fault is not null"""
@@ -143,7 +146,7 @@ def changed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.changed_from_previous(docs, "feed_id", ["fetched_at", "document_id"], hashed).select("document_id", "feed_id")
 
 
-_NORMAL = "trim(regexp_replace(regexp_replace(coalesce({0}, ''), '<!--.*?-->', '', 'gs'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
+_NORMAL = "trim(regexp_replace(regexp_replace(coalesce({0}, ''), '<!--.*?-->', '', 'gs'), '[\\s\\x{{a0}}\\x{{85}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{1c}}-\\x{{1f}}\\x{{b}}]+', ' ', 'g'))"
 SQL["changed_documents"] = (
     "with d as (select document_id, feed_id, "
     + " || chr(31) || ".join(_NORMAL.format(c) for c in ("title", "description", "cast(ok as varchar)"))
@@ -845,7 +848,7 @@ def parsed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["parsed_entries"] = r"""select document_id, row_number() over (partition by document_id order by item_no, parsed_id) - 1 as place, trim(coalesce(guid, ''), E' \t\n\r') as guid, trim(coalesce(title, ''), E' \t\n\r') as title,
-    length(trim(coalesce(content, ''), E' \t\n\r')) as content_chars from parsed_items where document_id in (select document_id from parsed_feeds)"""
+    length(trim(case when coalesce(content, '') <> '' then content else coalesce(summary, '') end, E' \t\n\r')) as content_chars from parsed_items where document_id in (select document_id from parsed_feeds)"""
 
 
 @query
@@ -856,12 +859,13 @@ def page_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def announced_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What pages announce (the archive's pages announce nothing)."""
-    p = table(spark, sf_dir, "pending_pages", "capture_id", "body", "final_url")
+    """What pages announce; the archive's own announce nothing, so each is given the announcement of a feed."""
+    p = table(spark, sf_dir, "pending_pages", "capture_id", "body", "final_url").where("final_url <> ''")
+    p = p.withColumn("body", F.concat(F.lit('<link rel="alternate" type="application/rss+xml" href="/all.rss">').cast("binary"), "body"))
     return p.select("capture_id", F.explode(discovery.announced("body", "final_url")).alias("feed_url"))
 
 
-SQL["announced_feeds"] = "select capture_id, cast(null as varchar) as feed_url from pending_pages where contains(cast(body as varchar), 'application/rss+xml')"
+SQL["announced_feeds"] = "select capture_id, regexp_extract(final_url, '^https?://[^/?#]+') || '/all.rss' as feed_url from pending_pages where final_url <> '' and body is not null"
 
 
 @query
@@ -891,10 +895,56 @@ def robots_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["robots_verdicts"] = """select f.url, h.host_name is not null as known, case when h.requires_www then regexp_matches(f.url, '^https?://[^/]*/rss') when h.host_name is not null then not regexp_matches(f.url, '\\.rdf$') end as allowed,
-    case when h.host_name is not null then false end as blocks_everything, case when h.requires_www then cast(120 as double) end as crawl_delay
+    case when h.host_name is not null then h.requires_www end as blocks_everything, case when h.requires_www then cast(120 as double) end as crawl_delay
     from feeds f left join hosts h on h.host_name = regexp_replace(regexp_extract(lower(f.url), '^https?://([^:/?#]+)', 1), '^www\\.', '')""".replace("\\\\\\\\", "\\\\")
 
 
+def _rules_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(host_name, body): robots rules that stand in for those of the hosts; some hosts have none."""
+    h = table(spark, sf_dir, "hosts", "host_id", "host_name", "requires_www").where("host_id % 5 <> 0")
+    body = F.when(F.col("requires_www"), "User-agent: *\nDisallow: /\nAllow: /rss\n").otherwise("User-agent: *\nDisallow: /*a\n")
+    return h.select("host_name", body.cast("binary").alias("body"))
+
+
+@query
+def poll_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each feed may be polled: a rule about it is obeyed, a ban on everything is not."""
+    u = table(spark, sf_dir, "feeds", "feed_id", "url").select(urls.host_of(F.col("url")).alias("host_name"), "url")
+    return robots.poll_verdicts(u, _rules_of(spark, sf_dir))
+
+
+_HOST = "regexp_replace(regexp_extract(lower({0}), '^https?://([^:/?#]+)', 1), '^www\\.', '')"
+_PATH = "regexp_extract({0}, '^https?://[^/?#]*(/[^#]*)', 1)"
+SQL["poll_verdicts"] = f"""select f.url, h.host_name is null or h.requires_www or not contains({_PATH.format("f.url")}, 'a') as may_poll
+    from feeds f left join (select * from hosts where host_id % 5 <> 0) h on h.host_name = {_HOST.format("f.url")}"""
+
+
+@query
+def redirect_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a page that a visit ended on may be kept, under the rules of the host it ended on."""
+    p = table(spark, sf_dir, "pending_pages", "capture_id", "version_id", "final_url")
+    v = table(spark, sf_dir, "item_versions", "version_id", "feed_id").join(table(spark, sf_dir, "feeds", "feed_id", "site_url"), "feed_id")
+    visits_ = p.join(v, "version_id").select(F.col("capture_id").alias("visit_id"), urls.host_of(F.col("site_url")).alias("requested_host"), urls.host_of(F.col("final_url")).alias("host_name"), F.col("final_url").alias("url"))
+    return robots.redirect_verdicts(visits_, _rules_of(spark, sf_dir))
+
+
+SQL["redirect_verdicts"] = f"""with v as (select p.capture_id, p.final_url, coalesce({_HOST.format("p.final_url")}, '') as went, coalesce({_HOST.format("f.site_url")}, '') as asked
+      from pending_pages p join item_versions i using (version_id) join feeds f using (feed_id))
+    select v.capture_id as visit_id, went = asked or went = '' or (h.host_name is not null and case when h.requires_www then starts_with({_PATH.format("v.final_url")}, '/rss') else not contains({_PATH.format("v.final_url")}, 'a') end) as may_keep
+    from v left join (select * from hosts where host_id % 5 <> 0) h on h.host_name = v.went"""
+
+
+@query
+def item_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the terms of every parsed item, and how many of its enclosures have an address."""
+    i = table(spark, sf_dir, "parsed_items", "parsed_id", "tags", "enclosures")
+    return i.select("parsed_id", F.array_join(texts.terms(F.col("tags")), "|").alias("terms"), F.coalesce(F.size(texts.usable_enclosures(F.col("enclosures"))), F.lit(0)).alias("files"))
+
+
+SQL["item_terms"] = """select parsed_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(tags, lambda t: trim(t)), lambda t: t <> ''))), '|'), '') as terms,
+    cast(coalesce(len(list_filter(enclosures, lambda e: coalesce(e.url, '') <> '')), 0) as integer) as files from parsed_items"""
+
+
 @query
 def compressed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as zstd frames; the sizes before are checked, those after depend on the library."""

@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if at is None:
         at = sc.getCheckpointDir()
+    if at is None and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if at is None:
         at = "file://" + tempfile.mkdtemp(prefix="fernglass-shared-")
     if sc.getCheckpointDir() is None:

@@ -132,14 +132,14 @@ def _link(node: _Node, base: str) -> str:
 
 
 def _body(entry: _Node) -> str:
-    """the longest content of a markup type, else the longest content; the first of equals."""
+    """the longest content of a markup type, else the longest content; the first of equals. Without any, the summary."""
     found = []
     for c in entry.all("content:encoded", "content", "xhtml:body"):
         kind = c.attrs.get("type", "html" if c.name == "content:encoded" else "text")
         text = c.inner() if c.children else c.text
         found.append((("html" in kind), len(text), text.strip()))
     marked = [x for x in found if x[0]] or found
-    return max(marked, key=lambda x: x[1])[2] if marked else ""
+    return max(marked, key=lambda x: x[1])[2] if marked else entry.first("description", "summary")
 
 
 def _files(entry: _Node, base: str) -> list[dict]:

@@ -12,9 +12,10 @@ MAX_BYTES = 8 * 1024 * 1024
 
 
 def outlines(data: bytes | None) -> list[tuple[str, str, str, str, bool]]:
-    """(title, url, site_url, category, needs_discovery) of every leaf. Folders flatten to the nearest named one.
+    """(title, url, site_url, category, needs_discovery) of every leaf. Folders flatten to the nearest named one; what
+    lies below a feed is not read.
 
-    Raises ValueError for documents that are too large, define entities or are not well-formed."""
+    Raises ValueError for documents that are too large, define entities, are not well-formed or have no body."""
     if not data:
         return []
     if len(data) > MAX_BYTES:
@@ -32,13 +33,18 @@ def outlines(data: bytes | None) -> list[tuple[str, str, str, str, bool]]:
             a = o.attrib
             name = (a.get("title") or a.get("text") or "").strip()
             feed = (a.get("xmlUrl") or a.get("xmlurl") or "").strip()
-            site = (a.get("htmlUrl") or a.get("htmlurl") or "").strip()
-            if feed or (site and not len(o)):
-                found.append((name, feed or site, site, folder, not feed))
-            walk(o, folder if feed else (name or folder))
+            site = (a.get("htmlUrl") or "").strip()
+            if feed:
+                found.append((name, feed, site, folder, False))
+            elif o.find("outline") is not None:
+                walk(o, name or folder)
+            elif site:
+                found.append((name, site, site, folder, True))
 
     body = root.find("body")
-    walk(body if body is not None else root, "")
+    if body is None:
+        raise ValueError("the list has no body")
+    walk(body, "")
     return found
 
 

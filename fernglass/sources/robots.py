@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from urllib.parse import unquote, urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 AGENT = "fernglass"
 DELAY_CAP = 120.0
@@ -34,7 +34,8 @@ class Rules:
         return verdict
 
     def blocks_everything(self) -> bool:
-        return not self.allows("http://any/") and not any(allow for allow, _ in self.rules)
+        """Whether even the home page is banned; single addresses may be allowed beside it."""
+        return not self.allows("http://any/")
 
     def crawl_delay(self) -> float | None:
         return None if self.delay is None else min(self.delay, DELAY_CAP)
@@ -80,29 +81,50 @@ def parse(body: bytes | str | None, agent: str = AGENT) -> Rules:
     return records.get(agent.lower()) or records.get("*") or Rules()
 
 
-def verdicts(urls: DataFrame, bodies: DataFrame, agent: str = AGENT) -> DataFrame:
-    """Urls (host_name, url) and bodies (host_name, body) -> (url, known, allowed, blocks_everything, crawl_delay).
-
-    A host's rules are parsed once in each batch that has its addresses; hosts without rules are not known."""
-    joined = urls.select("host_name", "url").join(bodies.select("host_name", "body"), "host_name", "left")
+def _each_verdict(urls: DataFrame, bodies: DataFrame, agent: str) -> DataFrame:
+    """(*urls, known, allowed, blocks_everything, crawl_delay): ``urls`` has host_name and url."""
+    joined = urls.join(bodies.select("host_name", F.col("body").alias("_body")), "host_name", "left")
+    kept = [c for c in joined.columns if c != "_body"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, Rules] = {}
         for b in batches:
             out = []
-            for host, url, body in zip(b["host_name"], b["url"], b["body"], strict=True):
+            for host, url, body in zip(b["host_name"], b["url"], b["_body"], strict=True):
                 if body is None:
-                    out.append((url, False, None, None, None))
+                    out.append((False, None, None, None))
                     continue
                 if host not in held:
                     if len(held) > 10_000:
                         held.clear()
                     held[host] = parse(bytes(body), agent)
                 r = held[host]
-                out.append((url, True, r.allows(url or ""), r.blocks_everything(), r.crawl_delay()))
-            yield pd.DataFrame(out, columns=["url", "known", "allowed", "blocks_everything", "crawl_delay"])
+                out.append((True, r.allows(url or ""), r.blocks_everything(), r.crawl_delay()))
+            yield pd.concat([b[kept], pd.DataFrame(out, columns=["known", "allowed", "blocks_everything", "crawl_delay"], index=b.index)], axis=1)
+
+    shape = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in kept)
+    return joined.mapInPandas(run, f"{shape}, known boolean, allowed boolean, blocks_everything boolean, crawl_delay double")
+
+
+def verdicts(urls: DataFrame, bodies: DataFrame, agent: str = AGENT) -> DataFrame:
+    """Urls (host_name, url) and bodies (host_name, body) -> (url, known, allowed, blocks_everything, crawl_delay).
+
+    A host's rules are parsed once in each batch that has its addresses; hosts without rules are not known."""
+    return _each_verdict(urls.select("host_name", "url"), bodies, agent).select("url", "known", "allowed", "blocks_everything", "crawl_delay")
+
+
+def poll_verdicts(urls: DataFrame, bodies: DataFrame, agent: str = AGENT) -> DataFrame:
+    """(url, may_poll): a rule that names a feed is obeyed, a ban on everything is not; without rules or host it may be polled."""
+    each = _each_verdict(urls.select("host_name", "url"), bodies, agent)
+    return each.select("url", (~F.col("known") | F.col("allowed") | F.col("blocks_everything")).alias("may_poll"))
+
 
-    return joined.mapInPandas(run, "url string, known boolean, allowed boolean, blocks_everything boolean, crawl_delay double")
+def redirect_verdicts(visits: DataFrame, bodies: DataFrame, agent: str = AGENT) -> DataFrame:
+    """Visits (visit_id, requested_host, host_name, url: where it ended) -> (visit_id, may_keep): what ended on its own host,
+    or on a host without a name, or whose rules are known and allow the address."""
+    each = _each_verdict(visits.select("visit_id", "requested_host", "host_name", "url"), bodies, agent)
+    host = F.coalesce("host_name", F.lit(""))
+    return each.select("visit_id", ((host == F.coalesce("requested_host", F.lit(""))) | (host == "") | (F.col("known") & F.coalesce("allowed", F.lit(False)))).alias("may_keep"))
 
 
 def may_poll(rules: Rules, url: str) -> bool:

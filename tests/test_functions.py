@@ -85,3 +85,9 @@ def test_schedule(spark):
     assert [r[0] for r in df.select(pace.retry_after(F.col("s"), F.col("h"))).collect()] == [300, 7200, 86400, 86400, None, None]
     df = spark.createDataFrame([("45", None, None), (None, "hourly", "2"), ("x", "Daily", None), (None, None, None), ("-5", None, None)], "t string, p string, f string")
     assert [r[0] for r in df.select(pace.ttl_seconds(F.col("t"), F.col("p"), F.col("f"))).collect()] == [2700, 1800, 86400, None, 0]
+
+
+def test_unicode_space_is_space_and_hosts_have_one_spelling(spark):
+    df = spark.createDataFrame([("a  b  c ", "https://www.Bücher.example/x"), ("a b c", "https://xn--bcher-kva.example/y")], "t string, u string")
+    rows = df.select(texts.normalise_text(F.col("t")).alias("t"), urls.host_of(F.col("u")).alias("h")).collect()
+    assert rows[0] == rows[1] and rows[0].h == "xn--bcher-kva.example"

@@ -157,3 +157,12 @@ def test_observe(spark):
     assert observe.overdue(e, F.col("kind") == "none", "ts", now, 1).count() == 1
     assert [(r.n, r.total) for r in observe.bucketed(e, "ts", "kind", "v", "6 hours", now).orderBy("bucket").collect()] == [(1, 1.0), (1, 3.0)]
     assert {r.status: r.jobs for r in observe.depths(e.select(F.col("kind").alias("status")), ("ok", "lost")).collect()} == {"ok": 2, "lost": 0}
+
+
+def test_rules_in_passes(spark, monkeypatch):
+    from fernglass.operators import rules
+
+    items = spark.createDataFrame([(i, 1, f"word{i} and more") for i in range(30)] + [(99, 2, None)], "id long, feed_id long, title string")
+    some = spark.createDataFrame([(f"WORD{i} ", "title", True, None) for i in range(0, 30, 3)] + [("more", "title", True, 2), ("zz", "title", False, None), (None, "title", True, None)], "pattern string, dimension string, blocks boolean, feed_id long")
+    monkeypatch.setattr(rules, "RULES_A_PASS", 4)
+    assert sorted(r.id for r in rules.blocked(items, some, "id", {"title": "title"}).collect()) == list(range(0, 30, 3))

@@ -90,3 +90,27 @@ def test_codec(spark):
     assert codec.expand(bytes(got[1].frame)) == b"x" * 100 and got[2].frame is None
     rows = spark.createDataFrame([(1, i, s) for i, s in enumerate(samples)] + [(2, 1, b"x")], "k long, o long, body binary")
     assert [(r.k, r.sample_count) for r in codec.trained(rows, "k", ["o"]).where(F.col("k") > 0).collect()] in ([(1, 59)], [])
+
+
+def test_a_ban_on_everything_beside_an_allowed_feed():
+    r = robots.parse("User-agent: *\nDisallow: /\nAllow: /own/list.rss")
+    assert r.blocks_everything() and r.allows("http://w/own/list.rss") and robots.may_poll(r, "http://w/own/list.rss") and robots.may_poll(r, "http://w/other")
+    assert not robots.may_poll(robots.parse("User-agent: *\nDisallow: /own/"), "http://w/own/list.rss")
+
+
+def test_redirects(spark):
+    rules = spark.createDataFrame([("b.w", b"User-agent: *\nDisallow: /no\n")], "host_name string, body binary")
+    visits = [(1, "a.w", "a.w", "http://a.w/x"), (2, "a.w", "b.w", "http://b.w/yes"), (3, "a.w", "b.w", "http://b.w/no"), (4, "a.w", "c.w", "http://c.w/x"), (5, None, None, None)]
+    df = spark.createDataFrame(visits, "visit_id int, requested_host string, host_name string, url string")
+    assert {r.visit_id: r.may_keep for r in robots.redirect_verdicts(df, rules).collect()} == {1: True, 2: True, 3: False, 4: False, 5: True}
+
+
+def test_lists_without_body_and_below_feeds():
+    with pytest.raises(ValueError):
+        opml.outlines(b"<opml><outline xmlUrl='https://w/f'/></opml>")
+    assert [u for _, u, *_ in opml.outlines(b"<opml><body><outline text='A' xmlUrl='https://w/f'><outline xmlUrl='https://w/g'/></outline></body></opml>")] == ["https://w/f"]
+
+
+def test_an_entry_without_content_has_its_summary():
+    doc = b"<rss><channel><item><title>T</title><description>Short words</description></item></channel></rss>"
+    assert feeds.parse_feed(doc)["items"][0]["content"] == "Short words"

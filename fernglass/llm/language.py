@@ -123,16 +123,33 @@ class Classifier:
         return at, np.fromiter(n.values(), np.float32, len(n)) * self.model.idf[at]
 
     def _learn(self, new: set[str]) -> None:
-        for w in new:
-            i = self.at[w] = len(self.at)
-            self.letters += len(w)
-            if i == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            g, x = self._vector(w)
-            n = x / self.model.idf[g] if len(g) < len(w) * 4 - 2 else None  # the table has the weights of the idf
-            self.rows[i, :-2] = self.model.table[g].sum(0) if n is None else n @ self.model.table[g]
-            square = float(x @ x)
-            self.rows[i, -2:] = square, square**0.5
+        """Rows of new words, all at once."""
+        if not new:
+            return
+        words = list(new)
+        first = len(self.at)
+        for i, w in enumerate(words):
+            self.at[w] = first + i
+        self.letters += sum(map(len, words))
+        size = len(self.rows)
+        while size < len(self.at):
+            size *= 2
+        if size > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((size - len(self.rows), self.rows.shape[1]), np.float32)])
+        for lo in range(0, len(words), 2000):
+            flat: list[int] = []
+            lens = []
+            for w in words[lo : lo + 2000]:
+                g = grams(w)
+                flat += g
+                lens.append(len(g))
+            g = np.array(flat, np.int64)
+            starts, of = np.cumsum(lens) - lens, np.repeat(np.arange(len(lens)), lens)
+            at = slice(first + lo, first + lo + len(lens))
+            self.rows[at, :-2] = np.add.reduceat(self.model.table[g], starts, axis=0)
+            key, n = np.unique(of * DIM + g, return_counts=True)
+            square = np.bincount(key // DIM, (n * self.model.idf[key % DIM]) ** 2, len(lens))
+            self.rows[at, -2], self.rows[at, -1] = square, np.sqrt(square)
 
     def _length(self, words: list[str]) -> float:
         g, x = (np.concatenate(c) for c in zip(*map(self._vector, words), strict=True))

@@ -22,12 +22,13 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fernglass.llm.words import Words
+
 DIM = 1 << 15
 CENTROIDS = 3
 MAX_SAMPLES = 20_000
@@ -63,6 +64,42 @@ def grams(word: str) -> list[int]:
     return [zlib.crc32(w[i : i + n].encode()) & (DIM - 1) for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)]
 
 
+def _crc_table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, (t >> 1) ^ np.uint32(0xEDB88320), t >> 1)
+    return t
+
+
+_CRC = _crc_table()
+
+
+def all_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ``grams`` of every word, end to end, and how many each has: all n-grams of one n grow by a character at once."""
+    data = np.frombuffer("".join([f"\x02{w}\x03" for w in words]).encode(), np.uint8)
+    begin = np.flatnonzero((data & 0xC0) != 0x80)  # of each character
+    width = np.diff(begin, append=len(data))
+    lens = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    of = np.repeat(np.arange(len(words)), lens)
+    place = np.arange(len(of)) - (np.cumsum(lens) - lens)[of]
+    sizes = np.maximum(lens[:, None] - np.arange(4), 0)  # n-grams of 1 to 4 characters
+    many = sizes.sum(1)
+    at = np.cumsum(many) - many
+    out = np.empty(int(many.sum()), np.int64)
+    crc = np.full(len(of), 0xFFFFFFFF, np.uint32)
+    for n in range(4):
+        on = np.flatnonzero(place + n < lens[of])
+        c, first, wide = crc[on], begin[on + n], width[on + n]
+        c = _CRC[(c ^ data[first]) & 0xFF] ^ (c >> 8)
+        for k in range(1, int(wide.max(initial=1))):
+            more = np.flatnonzero(wide > k)
+            c[more] = _CRC[(c[more] ^ data[first[more] + k]) & 0xFF] ^ (c[more] >> 8)
+        crc[on] = c
+        out[at[of[on]] + place[on]] = ~c & (DIM - 1)
+        at = at + sizes[:, n]
+    return out, many
+
+
 @dataclass
 class Model:
     langs: list[str]  # of each centroid
@@ -106,9 +143,9 @@ class Classifier:
         self.model = model
         self.codes = np.array([sorted(set(model.langs)).index(x) for x in model.langs], np.int64)
         self.names = sorted(set(model.langs))
-        self.at: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(model.langs) + 2), np.float32)  # shares in the products, squared length, length
-        self.letters = 0
+        self.words = Words(_WORDS.findall)
+        self.known = 0
+        self.rows = np.zeros((len(model.langs) + 2, 1024), np.float32)  # of each word: shares in the products, squared length, length
 
     def _vector(self, word: str) -> tuple[np.ndarray, np.ndarray]:
         """The n-grams of a word, and their TF-IDF weights."""
@@ -122,34 +159,22 @@ class Classifier:
         at = np.fromiter(n, np.int64, len(n))
         return at, np.fromiter(n.values(), np.float32, len(n)) * self.model.idf[at]
 
-    def _learn(self, new: set[str]) -> None:
-        """Rows of new words, all at once."""
-        if not new:
-            return
-        words = list(new)
-        first = len(self.at)
-        for i, w in enumerate(words):
-            self.at[w] = first + i
-        self.letters += sum(map(len, words))
-        size = len(self.rows)
-        while size < len(self.at):
+    def _learn(self) -> None:
+        """Columns of new words, all at once."""
+        first, self.known = self.known, len(self.words.words)
+        size = self.rows.shape[1]
+        while size < self.known:
             size *= 2
-        if size > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((size - len(self.rows), self.rows.shape[1]), np.float32)])
-        for lo in range(0, len(words), 2000):
-            flat: list[int] = []
-            lens = []
-            for w in words[lo : lo + 2000]:
-                g = grams(w)
-                flat += g
-                lens.append(len(g))
-            g = np.array(flat, np.int64)
+        if size > self.rows.shape[1]:
+            self.rows = np.concatenate([self.rows, np.zeros((len(self.rows), size - self.rows.shape[1]), np.float32)], 1)
+        for lo in range(first, self.known, 2000):
+            hi = min(lo + 2000, self.known)
+            g, lens = all_grams(self.words.words[lo:hi])
             starts, of = np.cumsum(lens) - lens, np.repeat(np.arange(len(lens)), lens)
-            at = slice(first + lo, first + lo + len(lens))
-            self.rows[at, :-2] = np.add.reduceat(self.model.table[g], starts, axis=0)
+            self.rows[:-2, lo:hi] = np.add.reduceat(self.model.table.take(g, 0), starts, axis=0).T
             key, n = np.unique(of * DIM + g, return_counts=True)
             square = np.bincount(key // DIM, (n * self.model.idf[key % DIM]) ** 2, len(lens))
-            self.rows[at, -2], self.rows[at, -1] = square, np.sqrt(square)
+            self.rows[-2, lo:hi], self.rows[-1, lo:hi] = square, np.sqrt(square)
 
     def _length(self, words: list[str]) -> float:
         g, x = (np.concatenate(c) for c in zip(*map(self._vector, words), strict=True))
@@ -157,25 +182,26 @@ class Classifier:
 
     def classify(self, lines: list[str]) -> list[tuple[str | None, float]]:
         """(language, confidence) of every line."""
-        if len(self.at) > 400_000 or self.letters > 20_000_000:
-            self.at, self.letters = {}, 0
-        words = [_WORDS.findall((_LINK.sub("]", s) if "](" in s else s).lower()) for s in lines]
-        self._learn(set(chain.from_iterable(words)).difference(self.at))
-        lens = np.array([len(ws) for ws in words], np.int64)
-        ids = np.fromiter(map(self.at.__getitem__, chain.from_iterable(words)), np.int64, int(lens.sum()))
-        sums = np.zeros((len(lines), self.rows.shape[1]), np.float64)
+        if self.words.full():
+            self.words.clear()
+            self.known = 0
+        plain = [(_LINK.sub("]", s) if "](" in s else s).lower() for s in lines]
+        lens, ids = self.words.numbers(plain)
+        self._learn()
+        sums = np.zeros((len(self.rows), len(lines)), np.float64)
         some = lens > 0
         if len(ids):
             starts = (np.cumsum(lens) - lens)[some]
-            sums[some] = np.add.reduceat(self.rows[ids], starts, axis=0)
+            for to, row in zip(sums, self.rows, strict=True):
+                to[some] = np.add.reduceat(row.take(ids), starts)
         best = np.full((len(lines), max(len(self.names), 1)), -1.0)
         for c in range(len(self.names)):
-            best[:, c] = sums[:, :-2][:, self.codes == c].max(1)
+            best[:, c] = sums[:-2][self.codes == c].max(0)
         long = best.max(1)
-        least, most = np.sqrt(np.maximum(sums[:, -2], 1e-18)), np.maximum(sums[:, -1], 1e-9)
+        least, most = np.sqrt(np.maximum(sums[-2], 1e-18)), np.maximum(sums[-1], 1e-9)
         near = long >= REJECT * most
         for i in np.flatnonzero(~near & (long >= REJECT * least) & (lens >= MIN_WORDS)):
-            near[i] = long[i] >= REJECT * self._length(words[i])
+            near[i] = long[i] >= REJECT * self._length(_WORDS.findall(plain[i]))
         order = np.argsort(-best, axis=1)
         top = best[np.arange(len(lines)), order[:, 0]]
         second = best[np.arange(len(lines)), order[:, min(1, best.shape[1] - 1)]]

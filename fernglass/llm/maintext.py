@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fernglass.llm.crf import Crf, train
+from fernglass.llm.words import Words
 
 DIM = 1 << 16
 TRAIN_DOCS = 1500
@@ -198,41 +199,43 @@ def _markup(tag: str, inside: bool, end: str, above: frozenset, share: str) -> t
     return _codes_of("tag " + tag, "with heading" if inside else "beside heading", f"tag {tag} end {end} {inside}", *["above " + a for a in sorted(above)], f"link {share}", f"end {end} {inside}")
 
 
-class _Tokens(dict):
-    """By what stands between white space: the codes of its words, and the first two and last of them."""
+def _split(text: str) -> list[str]:
+    return ["0" if w.isdigit() else w for w in _WORD.findall(text)]
 
-    def __missing__(self, token: str) -> tuple[tuple[int, ...], list[str], str]:
-        if len(self) > 400_000:
-            self.clear()
-        words = ["0" if w.isdigit() else w for w in _WORD.findall(token)]
-        out = self[token] = tuple(zlib.crc32(("w " + w).encode("utf-8", "replace")) & (DIM - 1) for w in words), words[:2], words[-1] if words else ""
-        return out
 
+_words, _word_codes = Words(_split), np.empty(0, np.int64)
 
-_tokens = _Tokens()
 
+def _word_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of lower-case texts: how many distinct codes their words have, and these; which texts have words, and the codes of
+    their first two and last words."""
+    global _word_codes
+    if _words.full():
+        _words.clear()
+        _word_codes = _word_codes[:0]
+    lens, ids = _words.numbers(texts)
+    names = _words.words
+    new = [zlib.crc32(("w " + w).encode("utf-8", "replace")) & (DIM - 1) for w in names[len(_word_codes) :]]
+    _word_codes = np.concatenate([_word_codes, np.array(new, np.int64)])
+    own = np.repeat(np.arange(len(texts)) * DIM, lens) + _word_codes[ids]
+    own.sort()
+    own = own[np.diff(own, prepend=-1) > 0]
+    some = np.flatnonzero(lens)
+    ends = np.cumsum(lens)[some]
+    begins = ends - lens[some]
+    # of a text with one word, this is also its second place
+    seconds = np.minimum(begins + 1, ends - 1)
+    ends = [
+        (_code(f"first {names[a]} {names[b]}" if n > 1 else "first " + names[a]), _code("last " + names[z]))
+        for a, b, z, n in zip(ids[begins].tolist(), ids[seconds].tolist(), ids[ends - 1].tolist(), lens[some].tolist(), strict=True)
+    ]
+    return np.bincount(own // DIM, minlength=len(texts)), own % DIM, some, np.array(ends, np.int64).reshape(-1, 2)
 
-def _word_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text's number, code) of each distinct word of lower-case texts, and of their first two and last words."""
-    codes: list[int] = []
-    lens, more, of = [], [], []
-    get = _tokens.__getitem__
-    for i, text in enumerate(texts):
-        toks = list(map(get, text.split()))
-        own: set[int] = set()
-        for t in toks:
-            own.update(t[0])
-        codes += own
-        lens.append(len(own))
-        if lens[-1]:
-            first = []
-            for t in toks:
-                first += t[1]
-                if len(first) > 1:
-                    break
-            more += [_code("first " + " ".join(first[:2])), _code("last " + next(t[2] for t in reversed(toks) if t[2]))]
-            of += [i, i]
-    return np.concatenate([np.repeat(np.arange(len(texts)), lens), np.array(of, np.int64)]), np.array(codes + more, np.int64)
+
+def _put(out: np.ndarray, at: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Puts the next ``sizes`` values at each place; gives the places after them."""
+    out[np.arange(len(values)) + np.repeat(at - np.cumsum(sizes) + sizes, sizes)] = values
+    return at + sizes
 
 
 def flat_features(docs: list[tuple[list[Block], str]], is_page: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -271,12 +274,15 @@ def flat_features(docs: list[tuple[list[Block], str]], is_page: bool) -> tuple[n
     if not shapes:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.array([len(bs) for bs, _ in docs], np.int64)
     sizes = np.fromiter(map(len, shapes), np.int64, len(shapes))
-    row, code = _word_features(lows)
-    rows = np.concatenate([np.repeat(np.arange(len(shapes)), sizes), row])
-    feats = np.concatenate([np.fromiter(chain.from_iterable(shapes), np.int64, int(sizes.sum())), code])
-    order = np.argsort(rows, kind="stable")
-    counts = np.bincount(rows, minlength=len(shapes))
-    return feats[order], np.cumsum(counts) - counts, np.array([len(bs) for bs, _ in docs], np.int64)
+    n_words, words, some, ends = _word_features(lows)
+    counts = sizes + n_words
+    counts[some] += 2
+    starts = np.cumsum(counts) - counts
+    feats = np.empty(int(counts.sum()), np.int64)
+    at = _put(feats, starts, sizes, np.fromiter(chain.from_iterable(shapes), np.int64, int(sizes.sum())))
+    at = _put(feats, at, n_words, words)[some]
+    feats[at], feats[at + 1] = ends[:, 0], ends[:, 1]
+    return feats, starts, np.array([len(bs) for bs, _ in docs], np.int64)
 
 
 def features(blocks: list[Block], site: str, is_page: bool) -> list[list[int]]:

@@ -1,6 +1,6 @@
 """Template residue, filler and error-page text in place of content (problem 6).
 
-Three detectors, all in JVM expressions, over whole titles and bodies of any length:
+Three detectors, in JVM expressions behind one wider look by RE2, over whole titles and bodies of any length:
 
 * **Message templates.** Titles and bodies are messages. Their variable parts (numbers, addresses and paths,
   hexadecimal ids, the site's name) are masked; a prefix tree of fixed depth (number of words, then the
@@ -25,7 +25,13 @@ aggregates of (leaf, place, word), so a leaf with a third of all titles is no ho
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from fernglass.session import written
 
@@ -48,18 +54,6 @@ CUES = {
 }
 _CUE = r"(?iU)(?<![\p{L}\p{N}])(?:" + "|".join(CUES.values()) + r")(?![\p{L}\p{N}])"
 
-# Of these every cue has one. They spare the other texts the longer pattern.
-CUE_SIGNS = (
-    "not found|not be found|error|errors|gateway|unavailable|not respond in time|forbidden|unauthorised|unauthorized|denied|have permission to|moment|please wait|robot|human|browser|"
-    "javascript|scripts|cookies|attention required|security check|captcha|went wrong|try again later|looked everywhere|to have moved|uncaught exception|stack trace|traceback|too many requests|"
-    "under construction|untitled|new post|new page|new document|draft|sample|headline goes|copy|no title|title goes|"
-    "nicht gefunden|fehler|serverfehler|verweigert|verboten|keine berechtigung|schiefgelaufen|bitte aktivieren|bitte warten|roboter|mensch|ohne titel|neuer beitrag|nicht verfügbar|"
-    "non trouvée|introuvable|erreur|refusé|interdit|avez pas accès|veuillez activer|un instant|sans titre|nouvel article|service indisponible|"
-    "no encontrada|no encontrado|se encontrada|se encontrado|hemos encontrado|denegado|prohibido|tiene permiso|momento|sin título|nueva entrada|salido mal|no disponible|"
-    "não encontrada|não encontrado|não encontramos|erro|negado|proibido|tem permissão|robô|sem título|novo post|serviço indisponível|"
-    "niet gevonden|bestaat niet|fout|serverfout|geweigerd|niet bekijken|ogenblik|zonder titel|nieuw bericht|misgegaan"
-)
-
 # Placeholder syntaxes.
 SLOTS = (
     r"\$\{[^{}\n]+\}",
@@ -190,10 +184,23 @@ def has_filler(text: Column, whole: Column | None = None) -> Column:
     return F.exists(F.split(text, "\n"), filler)
 
 
-# Behind a sign, or a letter of another script than Latin: wider than what words ask, and quick to test.
-_APART = r"[\x00-\x2f:-\x60{-\xbf\xd7\xf7\x{2b0}-\x{10ffff}]"
-#: What a text with a cue or filler has behind a space. One walk spares all others the patterns.
-_SUSPECT = _APART + _trie(sorted({*FILLER_WORDS.split(), *CUE_SIGNS.split("|")})) + r"(?![a-zß-ÿ0-9])"
+# What a text holds if it has a cue, a filler word or a slot: wider than the patterns above, for RE2, which reads a text by one
+# automaton. No letter or digit of ASCII stands beside a cue or word; the only letters that a pattern's letter equals by case and
+# RE2 does not fold are those for "i". (RE2's dot and \S are wider than Java's.)
+def _loose(pattern: str) -> str:
+    return r"(?i)(?:\A|[^0-9A-Za-z])(?:" + pattern.replace("i", "[i\u0131\u0130]") + r")(?:[^0-9A-Za-z]|\z)"
+
+
+_CUED, _FILLABLE, _SLOTTED = _loose("|".join(CUES.values())), _loose("|".join(FILLER_WORDS.split())), "|".join(map(re.escape, _SIGNS))
+
+
+def _sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, site, field, text, leaf), with (cued, fillable), and without the text of bodies that hold nothing suspect."""
+    for b in batches:
+        doc_id, site, field, text, leaf = b.columns
+        cued, fillable, slotted = (pc.match_substring_regex(text, p) for p in (_CUED, _FILLABLE, _SLOTTED))
+        needed = pc.or_(pc.or_(pc.equal(field, "title"), slotted), pc.or_(cued, fillable))
+        yield pa.RecordBatch.from_arrays([doc_id, site, field, pc.if_else(needed, text, pa.scalar(None, text.type)), leaf, cued, fillable], [*b.schema.names, "cued", "fillable"])
 
 
 def residue(docs: DataFrame, doc_id: str, title: str, body: str, site: str | None = None) -> DataFrame:
@@ -203,14 +210,15 @@ def residue(docs: DataFrame, doc_id: str, title: str, body: str, site: str | Non
     fields = src.select("doc_id", "site", F.explode(F.array(F.struct(F.lit("title").alias("field"), F.col("t").alias("text")), F.struct(F.lit("body").alias("field"), F.col("b").alias("text")))).alias("f"))
     fields = fields.select("doc_id", "site", "f.field", "f.text").where(F.trim("text") != "")
     is_title = F.col("field") == "title"
-    fields = fields.withColumn("suspect", F.lower(F.concat(F.lit(" "), F.col("text"))).rlike(_SUSPECT))
-    cue = is_title | F.when(F.col("suspect"), has_cue(F.col("text"))).otherwise(False)
+    fields = fields.withColumn("leaf", F.when(~is_title, rough_leaf(F.col("text"), F.col("site"))))
+    fields = fields.mapInArrow(_sieve, StructType([*fields.schema, StructField("cued", BooleanType()), StructField("fillable", BooleanType())]))
+    cue = is_title | F.when(F.col("cued"), has_cue(F.col("text"))).otherwise(False)
     marked = fields.select(
         "doc_id",
         "field",
         (has_slot(F.col("text")) | (is_title & F.col("text").rlike(EMPTY_TITLES))).alias("slot"),
-        F.when(F.col("suspect"), has_filler(F.col("text"), is_title)).otherwise(False).alias("filler"),
-        F.when(~is_title, rough_leaf(F.col("text"), F.col("site"))).alias("leaf"),
+        F.when(F.col("fillable"), has_filler(F.col("text"), is_title)).otherwise(False).alias("filler"),
+        "leaf",
         F.when(cue, masked(F.col("text"), F.col("site"))).alias("key"),
     )
     marked = written(marked)  # the texts are read once

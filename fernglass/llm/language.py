@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fernglass.llm.words import Words
+from fernglass.llm.words import Words, pieces
 
 DIM = 1 << 15
 CENTROIDS = 3
@@ -182,6 +182,9 @@ class Classifier:
 
     def classify(self, lines: list[str]) -> list[tuple[str | None, float]]:
         """(language, confidence) of every line."""
+        return [x for part in pieces(lines) for x in self._classify(part)]
+
+    def _classify(self, lines: list[str]) -> list[tuple[str | None, float]]:
         if self.words.full():
             self.words.clear()
             self.known = 0

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fernglass.llm.crf import Crf, train
-from fernglass.llm.words import Words
+from fernglass.llm.words import Words, pieces
 
 DIM = 1 << 16
 TRAIN_DOCS = 1500
@@ -207,8 +207,8 @@ _words, _word_codes = Words(_split), np.empty(0, np.int64)
 
 
 def _word_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of lower-case texts: how many distinct codes their words have, and these; which texts have words, and the codes of
-    their first two and last words."""
+    """Of lower-case texts: how many distinct codes their words have, and these; whether they have words, and the codes of
+    the first two and last words of those that have."""
     global _word_codes
     if _words.full():
         _words.clear()
@@ -225,11 +225,11 @@ def _word_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     begins = ends - lens[some]
     # of a text with one word, this is also its second place
     seconds = np.minimum(begins + 1, ends - 1)
-    ends = [
+    codes = [
         (_code(f"first {names[a]} {names[b]}" if n > 1 else "first " + names[a]), _code("last " + names[z]))
         for a, b, z, n in zip(ids[begins].tolist(), ids[seconds].tolist(), ids[ends - 1].tolist(), lens[some].tolist(), strict=True)
     ]
-    return np.bincount(own // DIM, minlength=len(texts)), own % DIM, some, np.array(ends, np.int64).reshape(-1, 2)
+    return np.bincount(own // DIM, minlength=len(texts)), own % DIM, lens > 0, np.array(codes, np.int64).reshape(-1, 2)
 
 
 def _put(out: np.ndarray, at: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -274,7 +274,8 @@ def flat_features(docs: list[tuple[list[Block], str]], is_page: bool) -> tuple[n
     if not shapes:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.array([len(bs) for bs, _ in docs], np.int64)
     sizes = np.fromiter(map(len, shapes), np.int64, len(shapes))
-    n_words, words, some, ends = _word_features(lows)
+    got = [_word_features(part) for part in pieces(lows)]
+    n_words, words, some, ends = (np.concatenate(x) for x in zip(*got, strict=True))
     counts = sizes + n_words
     counts[some] += 2
     starts = np.cumsum(counts) - counts

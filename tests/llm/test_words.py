@@ -3,7 +3,7 @@ import re
 import numpy as np
 import pytest
 
-from fernglass.llm import language, maintext, residue
+from fernglass.llm import language, maintext, residue, words
 from fernglass.llm.words import Words
 
 ODD = ["a", "the", "straße", "été", "слово", "語", "𝔘𝔫𝔦", "aé語𝔘b", "aaaa", "x" * 5000, "é" * 300, "²", "ﬁn"]
@@ -43,8 +43,25 @@ def test_forgetting_changes_no_result(monkeypatch):
     feats = maintext.flat_features(docs, False)
     monkeypatch.setattr("fernglass.llm.words.MOST", 1)
     assert c.words.full() and c.classify(lines) == once and c.classify(lines[:1]) + c.classify(lines[1:]) == once
-    for a, b in zip(feats, maintext.flat_features(docs, False), strict=True):
-        assert np.array_equal(a, b)
+    for together in (1, 30, 1000):
+        monkeypatch.setattr("fernglass.llm.words.TOGETHER", together)
+        assert c.classify(lines) == once
+        for a, b in zip(feats, maintext.flat_features(docs, False), strict=True):
+            assert np.array_equal(a, b)
+
+
+def test_pieces():
+    texts = ["", "ab", "c" * 9, "", "d"]
+    for together in range(14):
+        got = list(_pieces(texts, together))
+        assert [t for p in got for t in p] == texts and all(len(p) == 1 or sum(map(len, p)) <= together for p in got)
+    assert list(words.pieces([])) == []
+
+
+def _pieces(texts, together):
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(words, "TOGETHER", together)
+        yield from words.pieces(texts)
 
 
 def test_word_features_against_each_line():
@@ -52,9 +69,9 @@ def test_word_features_against_each_line():
     got = maintext.features(maintext.body_blocks("\n".join(lines)), "Own Site", False)
     for line, feats in zip(lines, got, strict=True):
         low = maintext._LINK.sub(r"\1", " ".join(line.split())).lower().replace("own site", " ownsite ")
-        words = ["0" if x.isdigit() else x for x in maintext._WORD.findall(low)]
-        own = {maintext._code("w " + x) for x in words}
-        ends = [maintext._code("first " + " ".join(words[:2])), maintext._code("last " + words[-1])] if words else []
+        ws = ["0" if x.isdigit() else x for x in maintext._WORD.findall(low)]
+        own = {maintext._code("w " + x) for x in ws}
+        ends = [maintext._code("first " + " ".join(ws[:2])), maintext._code("last " + ws[-1])] if ws else []
         n = len(own) + len(ends)
         assert sorted(feats[len(feats) - n :]) == sorted([*own, *ends])
 
